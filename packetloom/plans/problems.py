@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.operators.nested_json import flatten
 from packetloom.operators.packed_values import long_form, unpack
 from packetloom.session import table
 
@@ -27,3 +28,15 @@ def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values of fields that hold two or more."""
     return p3_values(spark, sf_dir).where("of >= 2").select("field", "row_key", "pos", "value")
+
+
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, row_id, text) of the nested JSON columns."""
+    runs = long_form(table(spark, sf_dir, "packet_runs", ["id", "fields_json", "intel_summary_json"]), F.col("id"), ["fields_json", "intel_summary_json"])
+    events = long_form(table(spark, sf_dir, "packet_events", ["id", "details_json"]), F.col("id"), ["details_json"])
+    return runs.unionByName(events).select("field", F.col("row_key").cast("bigint").alias("row_id"), "text").where(F.col("text").isNotNull())
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object that is an array element in the JSON columns, with its parent."""
+    return flatten(json_rows(spark, sf_dir))
