@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import survivors
-from packetloom.session import table
+from packetloom.llm import lookalikes, mixing, survivors, tokens
+from packetloom.session import materialize, table
 
 SURVIVOR_FIELDS = ["patient_name", "dob", "authorization_number", "va_icn", "ordering_provider", "referring_provider", "diagnosis_text", "forms_text"]
 
@@ -26,3 +26,33 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One surviving run per case, its missing fields filled from the following dominance layers."""
     return survivors.survivor(_cases(spark, sf_dir), "case_key", "id", "analyzed_at", "packet_confidence", SURVIVOR_FIELDS).withColumnsRenamed({"key": "case_key", "record": "id"})
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k, without special tokens."""
+    return tokens.encode_corpus(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = table(spark, sf_dir, "documents", ["doc_id", "source", "text"]).select("doc_id", "source", tokens.token_counts(F.col("text")).alias("n_tokens"))
+    return mixing.mix(materialize(sized, "mix-sizes"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents, and how often each is used."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and reached tokens and shares of each listed source."""
+    return _mixed(spark, sf_dir)[1]
+
+
+def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text in its one consistent form."""
+    return lookalikes.canonical(table(spark, sf_dir, "documents", ["doc_id", "text"])).select("doc_id", "canonical", "main")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that look the same but are not the same string."""
+    return lookalikes.alike_pairs(lookalikes.canonical(table(spark, sf_dir, "documents", ["doc_id", "text"])))
