@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import lookalikes, mixing, survivors, tokens
+from packetloom.llm import canonical_values, lookalikes, mixing, survivors, tokens
+from packetloom.operators.packed_values import unpack
+from packetloom.plans.problems import packed_rows
 from packetloom.session import materialize, table
 
 SURVIVOR_FIELDS = ["patient_name", "dob", "authorization_number", "va_icn", "ordering_provider", "referring_provider", "diagnosis_text", "forms_text"]
@@ -56,3 +58,22 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that look the same but are not the same string."""
     return lookalikes.alike_pairs(lookalikes.canonical(table(spark, sf_dir, "documents", ["doc_id", "text"])))
+
+
+def p1_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of diagnosis_text and icd_codes with the canonical entry it means, or UNMATCHED."""
+    values = materialize(unpack(packed_rows(spark, sf_dir, ("diagnosis_text", "icd_codes"))), "canonical-values")
+    mapped = canonical_values.map_values(values.select("value"), table(spark, sf_dir, "diagnosis_ref"))
+    return values.withColumn("trimmed", F.trim("value")).join(mapped.withColumnRenamed("value", "trimmed"), "trimmed").select("field", "row_key", "pos", "value", "ref_code")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that are not already written as a name or code of the list."""
+    ref = table(spark, sf_dir, "diagnosis_ref")
+    written = ref.select(F.lower(F.trim("ref_name")).alias("as_written")).union(ref.select(F.lower(F.trim("ref_code")))).distinct()
+    return (
+        p1_mapped(spark, sf_dir)
+        .withColumn("as_written", F.lower(F.trim("value")))
+        .join(written, "as_written", "left_anti")
+        .select("field", "row_key", "pos", "ref_code")
+    )
