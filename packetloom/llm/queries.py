@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import canonical_values, lookalikes, mixing, survivors, tokens
+from packetloom.llm import canonical_values, lookalikes, mixing, name_variants, survivors, tokens
 from packetloom.operators.packed_values import unpack
 from packetloom.plans.problems import packed_rows
 from packetloom.session import materialize, table
@@ -77,3 +77,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(written, "as_written", "left_anti")
         .select("field", "row_key", "pos", "ref_code")
     )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different strings that name the same provider, or the same patient of one birth date."""
+    runs = table(spark, sf_dir, "packet_runs", ["provider_name", "ordering_provider", "referring_provider", "patient_name", "dob"])
+    provider = [F.struct(F.lit("provider").alias("kind"), F.lit("").alias("block"), F.col(c).alias("name")) for c in ("provider_name", "ordering_provider", "referring_provider")]
+    patient = F.struct(F.lit("patient").alias("kind"), F.col("dob").alias("block"), F.col("patient_name").alias("name"))
+    names = runs.select(F.explode(F.array(*provider, patient)).alias("x")).select("x.*").where("name IS NOT NULL AND block IS NOT NULL").groupBy("kind", "block", "name").agg(F.count(F.lit(1)).alias("n"))
+    return name_variants.variant_pairs(names).select(F.col("kind").alias("name_kind"), F.col("block").alias("dob"), "name_a", "name_b")
