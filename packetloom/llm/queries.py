@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import canonical_values, lookalikes, mixing, name_variants, survivors, tokens
+from packetloom.llm import canonical_values, lookalikes, mixing, name_variants, personal_information, survivors, tokens
 from packetloom.operators.packed_values import unpack
 from packetloom.plans.problems import packed_rows
 from packetloom.session import materialize, table
@@ -86,3 +86,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     patient = F.struct(F.lit("patient").alias("kind"), F.col("dob").alias("block"), F.col("patient_name").alias("name"))
     names = runs.select(F.explode(F.array(*provider, patient)).alias("x")).select("x.*").where("name IS NOT NULL AND block IS NOT NULL").groupBy("kind", "block", "name").agg(F.count(F.lit(1)).alias("n"))
     return name_variants.variant_pairs(names).select(F.col("kind").alias("name_kind"), F.col("block").alias("dob"), "name_a", "name_b")
+
+
+def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, row_key, texts) of all free texts; rows repeated whole count once."""
+    runs = table(spark, sf_dir, "packet_runs", ["id", "diagnosis_text", "fields_json"])
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("diagnosis_text", "fields_json")]))
+    of_runs = runs.select(F.col("id").cast("string").alias("row_key"), fields.alias("x")).where("x.text IS NOT NULL").select("x.field", "row_key", F.array("x.text").alias("texts"))
+    pages = table(spark, sf_dir, "packet", ["packet_id", "pages"]).select(F.lit("pages").alias("field"), F.col("packet_id").alias("row_key"), F.col("pages").alias("texts"))
+    return pages.unionByName(of_runs)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mention of personal information in pages, diagnoses and free-text members of JSON."""
+    return personal_information.find_mentions(_personal_texts(spark, sf_dir))
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with a typed stand-in in place of each mention."""
+    return personal_information.redact(_personal_texts(spark, sf_dir).distinct())
