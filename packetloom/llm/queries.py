@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import canonical_values, lookalikes, mixing, name_variants, personal_information, survivors, tokens
+from packetloom.llm import canonical_values, lookalikes, mixing, name_variants, personal_information, scan_repair, survivors, tokens
 from packetloom.operators.packed_values import unpack
 from packetloom.plans.problems import packed_rows
 from packetloom.session import materialize, table
@@ -105,3 +105,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with a typed stand-in in place of each mention."""
     return personal_information.redact(_personal_texts(spark, sf_dir).distinct())
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages of every packet, and the mean OCR confidence of its runs."""
+    packets = table(spark, sf_dir, "packet", ["packet_id", "file_name", "pages"])
+    read = table(spark, sf_dir, "packet_runs", ["id", "file_name", "ocr_confidence"]).where("file_name IS NOT NULL AND ocr_confidence IS NOT NULL").distinct()
+    confidence = packets.select("packet_id", "file_name").join(read.groupBy("file_name").agg(F.avg("ocr_confidence").alias("ocr_confidence")), "file_name")
+    return packets.select("packet_id", "pages"), confidence
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Furniture lines, broken words and misread words of every page, with their repair."""
+    return scan_repair.repairs(*_scans(spark, sf_dir)).select("packet_id", "page_index", "line_no", "kind", "fixed").distinct()
+
+
+def p7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as continuous paragraphs."""
+    return scan_repair.repaired_pages(*_scans(spark, sf_dir))
