@@ -30,7 +30,7 @@ from packetloom.session import materialize
 
 #: What scanning makes of letters (fixed values): right unit -> misread units.
 CONFUSIONS = {
-    "e": ("c",), "t": ("f",), "i": ("1", "l"), "l": ("1", "i", "|"), "o": ("0",), "n": ("ri",), "s": ("5",), "a": ("@",), "d": ("cl",), "u": ("ii",), "m": ("rn",), "g": ("9", "q"), "h": ("b",), "w": ("vv",), "li": ("h",), "b": ("6", "8"), "z": ("2",), "S": ("5",), "O": ("0",), "I": ("1", "l"), "B": ("8",), "G": ("6",), "Z": ("2",), "A": ("@", "4"), "c": ("e", "("), "f": ("t",), "H": ("ll",),
+    "e": ("c",), "t": ("f",), "i": ("1", "l"), "l": ("1", "i", "|"), "o": ("0",), "n": ("ri",), "s": ("5",), "a": ("@",), "d": ("cl",), "u": ("ii",), "m": ("rn",), "g": ("9", "q"), "h": ("b",), "w": ("vv",), "li": ("h",), "b": ("6", "8"), "z": ("2",), "S": ("5",), "O": ("0",), "I": ("1", "l"), "B": ("8",), "G": ("6",), "Z": ("2",), "A": ("@", "4"), "c": ("e", "("), "f": ("t",), "H": ("ll",), "rn": ("m",), "cl": ("d",),
 }
 MISREAD = {m: tuple(r for r, ms in CONFUSIONS.items() if m in ms) for ms in CONFUSIONS.values() for m in ms}
 COMMON_KEPT = 20_000
@@ -44,7 +44,7 @@ FACILITY_ENDS = ("medical center", "spine center", "pain clinic", "physical ther
 _CORE = re.compile(r"[^\s.,;:()]+(?:[.,:][^\s.,;:()]+)*")
 _WORD = re.compile(r"[A-Za-z][A-Za-z'’]*(?:[-‐‑][A-Za-z'’]+)*")
 _BROKEN = re.compile(rf"(?P<left>[^\s.,;:()]*[A-Za-z0-9@|])(?P<mark>[{HYPHENS}])[ \t]*$")
-_PAGE_NUMBER = re.compile(r"^\W*(?:[Pp]\S{0,3}\.?\s*)?[\dIlOo|]{1,4}(?:\s*(?:\S[fFt]|/)\s*\d{1,4})?\W*$")
+_PAGE_NUMBER = re.compile(r"^[\s\-–|]*(?:[Pp]\S{0,3}\.?\s*)?[\dIlOo|]{1,4}(?:\s*(?:\S[fFt]|/)\s*\d{1,4})?[\s\-–|]*$")
 _STAMP = re.compile(r"[\dOIl|]{1,2}/[\dOIl|]{1,2}/[\dOIl|]{2,4}\s+[\dOIl|]{1,2}:[\dOIl|]{2}")
 _COUNTED = re.compile(r"(?:\s{2,}|\|\s*P\S{2,4}\s+)\d{1,4}(?:\s*(?:/|\S[fFt])\s*\d{1,4})?\s*$")
 _CONFIDENTIAL = re.compile(r"\s-\s+[CGO0]\S{3}[I1lt]\S{4,7}\s*(?:\|.*)?$")
