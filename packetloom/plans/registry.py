@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from packetloom.plans import problems
+from packetloom.plans import history, history_sql, problems
 
 QUERIES = {
     "p3_found": problems.p3_found,
     "p3_values": problems.p3_values,
     "p4_found": problems.p4_found,
+    **history.QUERIES,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(history_sql.ORACLES)
