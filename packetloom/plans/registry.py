@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from packetloom.plans import history, history_sql, problems
+from packetloom.plans import history, history_sql, pages, problems
 
 QUERIES = {
     "p3_found": problems.p3_found,
     "p3_values": problems.p3_values,
     "p4_found": problems.p4_found,
     **history.QUERIES,
+    **pages.QUERIES,
 }
-ORACLES: dict[str, str] = dict(history_sql.ORACLES)
+ORACLES: dict[str, str] = history_sql.ORACLES | pages.ORACLES
