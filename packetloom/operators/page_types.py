@@ -1,4 +1,4 @@
-"""Page classification as Column expressions.
+"""Page classification by counted phrases and a cascade of rules.
 
 Phrases of each page type (fixed values below) are counted once per page: title phrases in the
 first 500 characters, strong phrases, structure phrases, anchor groups and field hints in the
@@ -11,12 +11,13 @@ Null and blank pages, and texts of less than 40 characters, are `unknown`.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.session import materialize
+_NOT_WORD = re.compile(r"[^a-z0-9]+")
 
 #: Fixed values, in their natural order: phrases of each page type. A phrase matches as whole words.
 TYPES: dict[str, dict] = {
@@ -120,47 +121,51 @@ def page_text(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(joined), r"\s+", " "))
 
 
-def _count(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [c.cast("int") for c in conditions], F.lit(0))
+def _spaced(text: str) -> str:
+    """Words between single blanks, so that whole-word search is plain containment."""
+    return f" {_NOT_WORD.sub(' ', text)} "
 
 
-def _whole(text: Column, phrase: str) -> Column:
-    edge = lambda c: r"\b" if c.isalnum() else ""
-    return text.rlike(edge(phrase[0]) + re.escape(phrase) + edge(phrase[-1]))
+KINDS = ("title", "titleanchor", "titlehint", "strong", "structure", "anchor", "hint", "score")
 
 
-def _any(text: Column, phrases: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(p) for p in phrases])
+def _count_phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each kind of phrase an array with the count of every type.
 
-
-def _counts(text: Column, title: Column) -> list[Column]:
-    """title_, strong_, structure_, anchor_, hint_ and score_ counts of every type."""
-    out = []
-    for name, t in TYPES.items():
-        hints = list(dict.fromkeys(h for f in t["expects"] for h in HINTS[f]))
-        out += [
-            _count([_whole(title, p) for p in t["title"]]).alias(f"title_{name}"),
-            _count([_any(title, g) for g in t["anchors"]]).alias(f"titleanchor_{name}"),
-            _count([title.contains(h) for h in hints]).alias(f"titlehint_{name}"),
-            _count([_whole(text, p) for p in t["strong"]]).alias(f"strong_{name}"),
-            _count([_whole(text, p) for p in t["structure"]]).alias(f"structure_{name}"),
-            _count([_any(text, g) for g in t["anchors"]]).alias(f"anchor_{name}"),
-            _count([text.contains(h) for h in hints]).alias(f"hint_{name}"),
-            reduce(lambda a, b: a + b, [F.when(text.contains(p), w).otherwise(0) for p, w in t["weights"].items()]).alias(f"score_{name}"),
-        ]
-    return out
+    Some 350 substring searches per page: as expressions they outgrow one compiled method, so they
+    run in Arrow batches.
+    """
+    types = list(TYPES.values())
+    hints = [list(dict.fromkeys(h for f in t["expects"] for h in HINTS[f])) for t in types]
+    whole = {k: [[_spaced(p) for p in t[k]] for t in types] for k in ("title", "strong", "structure")}
+    held = lambda text, phrases: sum(p in text for p in phrases)
+    groups = lambda text, t: sum(any(p in text for p in g) for g in t["anchors"])
+    for b in batches:
+        out = []
+        for packet, page, text in zip(b["packet_id"], b["page_index"], b["normal"]):
+            head, spaced = text[:500], _spaced(text)
+            spaced_head = _spaced(head)
+            out.append((
+                packet, page, text,
+                [held(spaced_head, x) for x in whole["title"]], [groups(head, t) for t in types], [held(head, h) for h in hints],
+                [held(spaced, x) for x in whole["strong"]], [held(spaced, x) for x in whole["structure"]], [groups(text, t) for t in types], [held(text, h) for h in hints],
+                [sum(w for p, w in t["weights"].items() if p in text) for t in types],
+            ))
+        yield pd.DataFrame(out, columns=["packet_id", "page_index", "normal", *KINDS])
 
 
 def _best(*kinds: str) -> Column:
     """The type that leads by these counts in turn; the first listed on ties. Null if the first count is 0."""
-    order = list(TYPES)
-    ranked = [F.struct(*[F.col(f"{k}_{t}").alias(k) for k in kinds], F.lit(-i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(order)]
-    top = F.greatest(*ranked)
+    names = F.lit(list(TYPES))
+    ranked = F.transform(F.sequence(F.lit(1), F.lit(len(TYPES))), lambda i: F.struct(*[F.element_at(k, i).alias(k) for k in kinds], (-i).alias("i"), F.element_at(names, i).alias("t")))
+    top = F.array_max(ranked)
     return F.when(top[kinds[0]] > 0, top)
 
 
 def _of(kind: str, chosen: Column) -> Column:
-    return reduce(lambda out, t: out.when(chosen == t, F.col(f"{kind}_{t}")), list(TYPES)[1:], F.when(chosen == next(iter(TYPES)), F.col(f"{kind}_{next(iter(TYPES))}")))
+    """The count of the chosen type; null of an unknown one."""
+    at = F.array_position(F.lit(list(TYPES)), chosen).cast("int")
+    return F.when(at > 0, F.element_at(kind, at))
 
 
 def _supported(chosen: Column, titled: bool) -> Column:
@@ -181,11 +186,11 @@ def _with_anchors(confidence: Column, anchors: Column) -> Column:
 def classify(pages: DataFrame) -> DataFrame:
     """pages(packet_id, page_index, text) with doc_type, confidence, rule and the normalised text.
 
-    The counts are written once: inlined into the cascade they would be looked for again and
-    again, in code too large to compile.
+    The cascade itself stays in the JVM.
     """
     text = pages.withColumn("normal", F.coalesce(page_text(F.col("text")), F.lit("")))
-    counted = materialize(text.select("packet_id", "page_index", "normal", *_counts(F.col("normal"), F.substring("normal", 1, 500))), "page-counts")
+    schema = "packet_id string, page_index int, normal string, " + ", ".join(f"{k} array<int>" for k in KINDS)
+    counted = text.select("packet_id", "page_index", "normal").mapInPandas(_count_phrases, schema)
     title = _best("title", "titleanchor", "titlehint")
     strong = _best("strong", "anchor", "hint")
     built = _best("structure", "anchor", "hint")
@@ -198,7 +203,7 @@ def classify(pages: DataFrame) -> DataFrame:
         built.alias("by_structure"),
         anchored.alias("by_anchor"),
         weighted.alias("by_score"),
-        F.greatest(*[F.col(f"strong_{t}") for t in TYPES]).alias("most_strong"),
+        F.array_max("strong").alias("most_strong"),
     )
     size = F.length("normal")
     cover = F.col("normal").contains("submission cover sheet") & _supported(F.lit("cover_sheet"), True)
@@ -206,7 +211,7 @@ def classify(pages: DataFrame) -> DataFrame:
     structure_enough = (F.col("by_structure.structure") >= F.when(F.col("by_structure.t").isin("cover_sheet", "clinical_notes"), 2).otherwise(3)) | ((F.col("by_structure.structure") >= 2) & ((F.col("by_structure.hint") >= 3) | (F.col("by_structure.anchor") >= 2)))
     structure_ok = F.col("by_structure").isNotNull() & _supported(F.col("by_structure.t"), False) & structure_enough
     anchor_ok = F.col("by_anchor").isNotNull() & _supported(F.col("by_anchor.t"), False)
-    least = reduce(lambda out, t: out.when(F.col("by_score.t") == t, TYPES[t]["least"]), list(TYPES)[1:], F.when(F.col("by_score.t") == "cover_sheet", TYPES["cover_sheet"]["least"]))
+    least = F.element_at(F.lit([t["least"] for t in TYPES.values()]), -F.col("by_score.i"))
     score_ok = F.col("by_score").isNotNull() & (F.col("by_score.score") >= least)
     rule = F.when(size < 40, "short").when(cover, "cover").when(title_ok, "title").when(F.col("by_strong").isNotNull(), "strong").when(structure_ok, "structure").when(anchor_ok, "anchor").when(score_ok, "score").otherwise("none")
     doc = (
