@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import fields as fx
 from packetloom.functions import stats as st
+from packetloom.operators import outcome_model as om
 from packetloom.operators import outcomes
 from packetloom.operators.prefix import running_sums
 from packetloom.session import materialize, table
@@ -424,9 +425,17 @@ def forecast_ece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.agg(F.round(F.sum(F.col("n") * F.abs(F.col("average_predicted") - F.col("average_actual"))) / F.sum("n"), 4).alias("ece"))
 
 
+def outcome_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated probability of approval of every run, by the fitted model."""
+    features = materialize(run_features(spark, sf_dir), "features")
+    labels = outcome_labels(spark, sf_dir).select("id", "label")
+    at = runs(spark, sf_dir, "analyzed_at").select("id", F.col("analyzed_at").alias("at"))
+    return om.score(features, om.fit_labelled(features.join(labels, "id").join(at, "id")))
+
+
 QUERIES = {f.__name__: f for f in (
     history_totals, case_history, provider_history, derived_case_keys, derived_provider_keys, internal_benchmark, provider_ranking, provider_network, workflow_performance,
     score_percentiles, denial_rate, outcome_mix, routing_variance, case_status_counts, failure_sources, outcome_drivers, recurring_issues, provider_memory, provider_deficiencies, approved_profile,
     complexity_benchmark, hidden_trend, outcome_labels, turnaround_observations, turnaround_survival, turnaround_median, case_timeline, risk_drift, correction_memory, score_ewma, score_cusum,
-    cases_with_outcome, cases_without_outcome, form_overlap, new_identifiers, run_features, forecast_scores, forecast_auc, forecast_calibration, forecast_ece,
+    cases_with_outcome, cases_without_outcome, form_overlap, new_identifiers, run_features, forecast_scores, forecast_auc, forecast_calibration, forecast_ece, outcome_scores,
 )}

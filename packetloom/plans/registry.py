@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from packetloom.plans import history, history_sql, pages, problems
+from packetloom.streaming import history as streams
 
 QUERIES = {
     "p3_found": problems.p3_found,
@@ -10,5 +11,6 @@ QUERIES = {
     "p4_found": problems.p4_found,
     **history.QUERIES,
     **pages.QUERIES,
+    **streams.QUERIES,
 }
-ORACLES: dict[str, str] = history_sql.ORACLES | pages.ORACLES
+ORACLES: dict[str, str] = history_sql.ORACLES | pages.ORACLES | streams.ORACLES
