@@ -416,7 +416,7 @@ def forecast_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five calibration bins with their score intervals."""
     b = _judged(spark, sf_dir).withColumn("bin", F.least(F.floor(F.col("p") * 5), F.lit(4)) + 1).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("predicted"), F.sum("label").alias("successes"))
     lower, upper = st.wilson(F.col("successes"), F.col("n"))
-    return b.select("bin", "n", F.round("predicted", 3).alias("average_predicted"), F.round(F.col("successes") / F.col("n"), 3).alias("average_actual"), F.round(lower, 3).alias("interval_lower"), F.round(upper, 3).alias("interval_upper"))
+    return b.select("bin", "n", F.round(F.col("predicted") + 1e-9, 3).alias("average_predicted"), F.round(F.col("successes") / F.col("n"), 3).alias("average_actual"), F.round(lower, 3).alias("interval_lower"), F.round(upper, 3).alias("interval_upper"))
 
 
 def forecast_ece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,6 @@ ORACLES = {
         FROM j AS a, j AS b WHERE a.label = 1 AND b.label = 0""",
 }
 _BINS = f"""WITH {_R}, {_E}, {_LABELS}, {_JUDGED}, b AS (SELECT least(floor(p * 5), 4)::BIGINT + 1 AS bin, count(*) AS n, avg(p) AS predicted, sum(label) AS successes FROM j GROUP BY 1),
-    c AS (SELECT bin, n, round(predicted, 3) AS average_predicted, round(successes / n, 3) AS average_actual, round({_BLOW}, 3) AS interval_lower, round({_BHIGH}, 3) AS interval_upper FROM b)"""
+    c AS (SELECT bin, n, round(predicted + 1e-9, 3) AS average_predicted, round(successes / n, 3) AS average_actual, round({_BLOW}, 3) AS interval_lower, round({_BHIGH}, 3) AS interval_upper FROM b)"""
 ORACLES["forecast_calibration"] = _BINS + " SELECT * FROM c"
 ORACLES["forecast_ece"] = _BINS + " SELECT round(sum(n * abs(average_predicted - average_actual)) / sum(n), 4) AS ece FROM c"
