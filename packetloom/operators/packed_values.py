@@ -34,6 +34,7 @@ KINDS = (",", ";", "|", "\t", "\n", "•", " / ", "/", " + ", "+")
 _DELIMITER = re.compile(r"[,;|\t\n•]|[  ]+[/+][  ]+|[/+]")
 _BLANKS = re.compile("[  ]+")
 _QUOTES = {'"': '"', "“": "”"}
+_SINGLE = frozenset(",;|\t\n•/+")
 _ALPHABET = 96  # printable ASCII, and one class for all other characters
 SMOOTHING = 0.5
 
@@ -260,6 +261,8 @@ def choose_dialects(texts: DataFrame) -> DataFrame:
                         else:
                             bits, last = escape, _ALPHABET - 1
                             for x in c:
+                                if x in _SINGLE:  # paid for by the chance that it does not separate
+                                    continue
                                 now = _char(x)
                                 bits += char.get((field, last * _ALPHABET + now), 12.0)
                                 last = now
