@@ -9,7 +9,8 @@ Completeness takes few values (0 to the number of fields), so the skyline needs
 distinct measure vectors of a group are ordered by recency, and for every completeness level a
 running maximum of trust tells whether a better vector came before. Groups of more than
 `HOT_GROUP` records are first reduced to local skylines in salted parts, which is exact because
-a dominated record stays dominated in the whole. No group is collected.
+a dominated record stays dominated in the whole. The layers of a group are numbered in one pass
+over its sorted vectors. No group is collected.
 
 Defined results: null recency and null trust rank lowest; repeated rows (same id) count once;
 rows with a null group key, and excluded keys, belong to no group; a group may have one row.
@@ -17,6 +18,7 @@ rows with a null group key, and excluded keys, belong to no group; a group may h
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,8 +27,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.session import materialize
-
 #: Writings that stand for a missing value (fixed values of the data).
 PLACEHOLDERS = ("", "-", "n/a", "na", "none", "null", "tbd", "unknown", "unk", "not stated", "not available", "pending", "?", "--", "nil", "nan", "xxx")
 HOT_GROUP = 50_000
@@ -105,73 +105,76 @@ def dominating(rows: DataFrame, levels: int, hot: int = HOT_GROUP) -> DataFrame:
     return best.join(sizes, "key").select("key", "record", "records")
 
 
-def _layers(part: pd.DataFrame, levels: int) -> list[int]:
-    """Dominance layer of each row of one group that is sorted as in `_undominated`.
+class _Depths:
+    """Dominance layers of the vectors of one group, which come sorted as in `_undominated`.
 
-    reach[l][n]: the best trust in layer l among completeness n or more. A row dominated from
-    layer l is dominated from every layer before it, so its layer is found by bisection.
+    A vector's layer is the greatest depth (layer + 1) among vectors before it of at least its
+    completeness and trust. For each completeness n, `trusts[n]` rises and `depths[n]` falls: the
+    steps of that greatest depth by trust. So the state grows with the steps, not with the group.
     """
-    reach: list[list[float]] = []
-    out: list[int] = []
-    last, at = None, 0
-    for v in zip(part["recency"], part["complete"], part["trust"]):
-        if v != last:
-            lo, hi = 0, len(reach)
-            while lo < hi:
-                mid = (lo + hi) // 2
-                lo, hi = (mid + 1, hi) if reach[mid][v[1]] >= v[2] else (lo, mid)
-            at, last = lo, v
-            if at == len(reach):
-                reach.append([float("-inf")] * (levels + 1))
-            for n in range(v[1] + 1):
-                reach[at][n] = max(reach[at][n], v[2])
-        out.append(at)
-    return out
+
+    def __init__(self, levels: int) -> None:
+        self.trusts: list[list[float]] = [[] for _ in range(levels + 1)]
+        self.depths: list[list[int]] = [[] for _ in range(levels + 1)]
+        self.last: tuple | None = None
+        self.at = 0
+
+    def layer(self, recency: int, complete: int, trust: float) -> int:
+        trust = float("inf") if trust != trust else trust
+        if (recency, complete, trust) == self.last:
+            return self.at
+        i = bisect_left(self.trusts[complete], trust)
+        self.at, self.last = self.depths[complete][i] if i < len(self.trusts[complete]) else 0, (recency, complete, trust)
+        for trusts, depths in zip(self.trusts[: complete + 1], self.depths):
+            i = bisect_left(trusts, trust)
+            if i < len(trusts) and depths[i] > self.at:
+                continue
+            end = i + (i < len(trusts) and trusts[i] == trust)
+            while i and depths[i - 1] <= self.at + 1:
+                i -= 1
+            trusts[i:end], depths[i:end] = [trust], [self.at + 1]
+        return self.at
+
+
+def numbered(rows: DataFrame, levels: int) -> DataFrame:
+    """`rows(key, recency, trust, complete, ...)` with the `layer` of each; groups pass as a stream, none is held."""
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, depths = None, _Depths(levels)
+        for b in batches:
+            out = []
+            for k, r, c, t in zip(b["key"], b["recency"].tolist(), b["complete"].tolist(), b["trust"].tolist()):
+                if k != key:
+                    key, depths = k, _Depths(levels)
+                out.append(depths.layer(r, c, t))
+            yield b.assign(layer=out)
+
+    ordered = rows.repartition("key").sortWithinPartitions("key", F.desc("recency"), F.desc("complete"), F.desc("trust"))
+    return ordered.mapInPandas(number, T.StructType([*ordered.schema.fields, T.StructField("layer", T.LongType())]))
 
 
 def survivor(df: DataFrame, key: str, record: str, recency: str, trust: str, fields: list[str], hot: int = HOT_GROUP, salts: int = SALTS) -> DataFrame:
-    """(key, record, layers, filled, fields...): one surviving record per group, built field by field.
+    """(key, record, layers, records, fields...): one surviving record per group, built field by field.
 
     The record is the first of the skyline by recency, trust, completeness and smallest record.
     A field it lacks comes from the first record, by (dominance layer, the same policy), that has it.
+    `layers` and `records` count all dominance layers and all records of the group, at any size.
+    `salts` is without effect here and stays for callers.
     """
     levels = len(fields)
     base = measured(df, key, record, recency, trust, fields)
     values = df.where(F.col(key).isNotNull() & F.col(record).isNotNull()).select(F.col(record).alias("record"), F.col(key).alias("key"), *[F.when(is_real(F.col(f)), F.trim(f)).alias(f) for f in fields]).distinct()
     rows = base.join(values, ["key", "record"])
     large = hot_keys(base, hot).collect()
-    cold = rows
-    parts: list[DataFrame] = []
-    if large:
+    if not large:
+        layered = numbered(rows, levels)
+    else:
         large_df = df.sparkSession.createDataFrame([(r["key"],) for r in large], base.select("key").schema)
-        cold = rows.join(F.broadcast(large_df), "key", "left_anti")
-        rest = materialize(rows.join(F.broadcast(large_df), "key", "left_semi"), "skyline-hot")
-        wanted = rest.groupBy("key").agg(*[F.max(F.col(f).isNotNull()).alias(f) for f in fields])
-        layer = 0
-        while rest.take(1):
-            front = materialize(skyline(rest, levels, hot=0, salts=salts).withColumn("layer", F.lit(layer)), "skyline-front")
-            parts.append(front)
-            have = reduce(DataFrame.unionByName, parts).groupBy("key").agg(*[F.max(F.col(f).isNotNull()).alias(f"_{f}") for f in fields])
-            open_keys = wanted.join(have, "key").where(reduce(lambda a, b: a | b, [F.col(f) & ~F.col(f"_{f}") for f in fields])).select("key")
-            rest = materialize(rest.join(open_keys, "key", "left_semi").join(front.select("key", "record"), ["key", "record"], "left_anti"), "skyline-rest")
-            layer += 1
-
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for b in batches:
-            b = b if held is None else pd.concat([held, b], ignore_index=True)
-            cut = len(b) - int((b["key"] == b["key"].iloc[-1]).iloc[::-1].cumprod().sum()) if len(b) else 0
-            held = b.iloc[cut:]
-            done = b.iloc[:cut]
-            if len(done):
-                yield done.assign(layer=[x for _, g in done.groupby("key", sort=False) for x in _layers(g, levels)])
-        if held is not None and len(held):
-            yield held.assign(layer=_layers(held, levels))
-
-    ordered = cold.repartition("key").sortWithinPartitions("key", F.desc("recency"), F.desc("complete"), F.desc("trust"))
-    layered = ordered.mapInPandas(number, T.StructType([*ordered.schema.fields, T.StructField("layer", T.LongType())]))
-    for p in parts:
-        layered = layered.unionByName(p.select(*ordered.columns, F.col("layer").cast("bigint").alias("layer")))
+        cold = numbered(rows.join(F.broadcast(large_df), "key", "left_anti"), levels)
+        # of a hot group only the distinct vectors pass through one task; its records stay spread
+        vector = ["key", "recency", "trust", "complete"]
+        layers = numbered(base.join(F.broadcast(large_df), "key", "left_semi").select(*vector).distinct(), levels)
+        layered = cold.unionByName(rows.join(F.broadcast(large_df), "key", "left_semi").join(layers, vector))
     policy = F.struct("layer", (-F.col("recency")).alias("r"), (-F.col("trust")).alias("t"), (-F.col("complete")).alias("c"), "record")
     return layered.groupBy("key").agg(
         F.min_by("record", policy).alias("record"),

@@ -125,6 +125,24 @@ def test_skyline_against_brute_force(spark):
     assert sorted(map(str, a)) == sorted(map(str, b)) and len(a) == 3
 
 
+def test_hot_groups_count_all_records_and_layers(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice("xxxy"), i, rnd.choice([None, 1, 2, 3, 4]), rnd.choice([None, 0.1, 0.5, 0.9]), rnd.choice([None, "a"]), rnd.choice([None, "b"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, id bigint, day int, trust double, a string, b string").withColumn("at", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, day)"))
+    vec = {r[1]: (r[2] if r[2] is not None else -1, r[3] if r[3] is not None else -1, sum(v is not None for v in r[4:])) for r in rows}
+    want = {}
+    for k in "xy":
+        left, layers = {r[1] for r in rows if r[0] == k}, 0
+        count = len(left)
+        while left:
+            left = {i for i in left if any(vec[j] != vec[i] and all(a >= b for a, b in zip(vec[j], vec[i])) for j in left)}
+            layers += 1
+        want[k] = (layers, count)
+    cold, hot = (survivors.survivor(df, "k", "id", "at", "trust", ["a", "b"], hot=n).collect() for n in (1000, 3))
+    assert {r.key: (r.layers, r.records) for r in hot} == want
+    assert sorted(map(str, cold)) == sorted(map(str, hot))
+
+
 # p7
 
 
