@@ -45,6 +45,7 @@ _SUFFIX = r"(?:Ave|Avenue|St|Street|Rd|Road|Dr|Drive|Ln|Lane|Ct|Court|Loop|Way|B
 _UNIT = r"(?:,?\s+(?:Apt|Apartment|Unit|Suite|Ste|Rm|Lot)\.?\s+#?\w{1,4}\b|,?\s+#\s?\w{1,4}\b)?"
 _STREET = rf"\d{{1,5}}\s+(?:(?:[NSEW]|NE|NW|SE|SW)\.?\s+)?(?:[A-Z][\w@']*\s+){{0,3}}?[A-Z][\w@']*\s+{_SUFFIX}\b\.?(?!\w){_UNIT}"
 _BOX = r"P\.?\s?O\.?\s+Box\s+\d{1,6}"
+_IS_BOX = re.compile(r"P\.?\s?O", re.I)
 ADDRESS = re.compile(rf"(?<![\w-])(?:{_STREET}|{_BOX})(?!\w)")
 ADDRESS_ANY = re.compile(ADDRESS.pattern, re.I)
 ADDRESS_UPPER = re.compile(ADDRESS.pattern.replace("Avenue", "Avenue|AVE|AVENUE|ST|STREET|RD|ROAD|DR|DRIVE|LN|LANE|CT|COURT|LOOP|WAY|BLVD|BOULEVARD|PL|PLACE|TER|TERRACE|CIR|HWY|PKWY").replace("Apt", "APT|UNIT|STE|Apt").replace("Box", "(?:Box|BOX)"))
@@ -170,6 +171,8 @@ def parts_of(kind: str, value: str) -> list[tuple[str, str]]:
         return [("phone", re.sub(r"\D", "", value)[-10:])]
     if kind == "id_number":
         return [("id_number", re.sub(r"\W", "", value.upper()))]
+    if _IS_BOX.match(value):
+        return [("box", re.sub(r"\D", "", value))]
     return [("address", " ".join(re.findall(r"\w+", value.lower())))]
 
 
@@ -191,9 +194,12 @@ def surrogate(part: str, canon: str, key: bytes, attempt: int) -> str:
     new = str(draw % 10 ** max(1, len(digits))).zfill(len(digits))
     if part == "phone" and len(digits) >= 7:
         new = new[:-7] + "555" + new[-4:]
-    if part == "address":
+    if part == "box":  # the length of the original leaves few numbers, so later attempts take more digits
+        return str(draw % 10 ** (len(digits) + attempt)).zfill(len(digits) + attempt)
+    if part == "address":  # the house number and street as they are written
         n = len(_SYLLABLES)
-        return f"{new}|{(_SYLLABLES[draw // 7 % n] + _SYLLABLES[draw // 701 % n] + _ENDS[draw // 99991 % len(_ENDS)]).capitalize()}"
+        more = _SYLLABLES[draw // 7000003 % n] if attempt > 1 else ""
+        return f"{new[:4]} {(_SYLLABLES[draw // 7 % n] + _SYLLABLES[draw // 701 % n] + more + _ENDS[draw // 99991 % len(_ENDS)]).capitalize()}"
     return new
 
 
@@ -225,8 +231,8 @@ def in_place(kind: str, value: str, given: dict[tuple[str, str], str]) -> str:
     elif kind == "email":
         new = given.get(parts[0], "person") + "@example.org"
     elif kind == "address":
-        digits, _, street = given.get(parts[0], "1|Street").partition("|")
-        new = f"PO Box {digits[:6]}" if re.match(r"p\.?\s?o", value, re.I) else f"{digits[:4] or 1} {street} {value.split()[-1] if re.search(_SUFFIX + '$', value) else 'Street'}"
+        stand_in = given.get(parts[0], "1" if parts[0][0] == "box" else "1 Street")
+        new = f"PO Box {stand_in}" if parts[0][0] == "box" else f"{stand_in} {value.split()[-1] if re.search(_SUFFIX + '$', value) else 'Street'}"
     else:
         new = _fill(value, given.get(parts[0], ""))
     return f"[{kind.upper()}:{' '.join(new.split())}]"

@@ -105,6 +105,20 @@ def test_surrogates_are_distinct_and_coreferent(spark):
     assert len(table) == len({r.stand_in for r in table}) == 3000
 
 
+def written_for(spark, kind, values):
+    """What stands in place of each value, with one table of stand-ins for all of them."""
+    parts = sorted({p for v in values for p in personal_information.parts_of(kind, v)})
+    table = personal_information.surrogate_table(spark.createDataFrame(parts, "part string, canon string"), "k").collect()
+    given = {(r.part, r.canon): r.stand_in for r in table}
+    return [personal_information.in_place(kind, v, given) for v in values]
+
+
+def test_written_addresses_are_distinct(spark):
+    boxes = [f"PO Box {i}" for i in range(1000, 4000)] + [f"{i} North Weir Way Apt {i % 7}" for i in range(1000, 3000)]
+    assert len(set(written_for(spark, "address", boxes))) == len(boxes)
+    assert len(set(written_for(spark, "address", ["PO Box 4821", "P.O. Box 4821", "P O Box 4821"]))) == 1
+
+
 # p6
 
 
