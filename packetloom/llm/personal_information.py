@@ -18,6 +18,7 @@ import hmac
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -180,16 +181,27 @@ _SYLLABLES = [a + b for a in ("b", "br", "c", "cl", "d", "f", "g", "h", "k", "l"
 _ENDS = ["by", "combe", "den", "ford", "ham", "ley", "low", "more", "ney", "rick", "sby", "ton", "wick", "worth"]
 
 
+@lru_cache(maxsize=8)
+def _given_names(key: bytes) -> dict[str, str]:
+    """Each canonical given name -> another of its gender, in a keyed cycle: no two share one, none stays."""
+    canons = sorted({NICKNAMES.get(w, w) for w in GIVEN})
+    out = {}
+    for women in (True, False):
+        names = [c for c in canons if (c.title() in FEMALE or c.title() not in MALE and c.endswith("a")) == women]
+        names.sort(key=lambda c: hmac.new(key, f"given|{c}".encode(), hashlib.sha256).digest())
+        out |= {a: b.capitalize() for a, b in zip(names, names[1:] + names[:1])}
+    return out
+
+
 def surrogate(part: str, canon: str, key: bytes, attempt: int) -> str:
     """Keyed stand-in of one part: digits for digits, a name for a name."""
     draw = int.from_bytes(hmac.new(key, f"{part}|{canon}|{attempt}".encode("utf-8", "surrogatepass"), hashlib.sha256).digest(), "big")
-    if part == "given":
-        same = FEMALE if canon.title() in FEMALE or canon.endswith("a") else MALE
-        return same[draw % len(same)]
-    if part in ("surname", "email"):
+    if part == "given" and canon in _given_names(key):
+        return _given_names(key)[canon]
+    if part in ("given", "surname", "email"):
         n = len(_SYLLABLES)
         word = "".join(_SYLLABLES[(draw // n**i) % n] for i in range(2 + (attempt > 1))) + _ENDS[(draw // n**5) % len(_ENDS)]
-        return word.capitalize() if part == "surname" else f"{word}{draw % 997}"
+        return f"{word}{draw % 997}" if part == "email" else word.capitalize()
     digits = re.sub(r"\D", "", canon)
     new = str(draw % 10 ** max(1, len(digits))).zfill(len(digits))
     if part == "phone" and len(digits) >= 7:
@@ -241,7 +253,7 @@ def in_place(kind: str, value: str, given: dict[tuple[str, str], str]) -> str:
 def surrogate_table(parts: DataFrame, key: str) -> DataFrame:
     """(part, canon, stand_in) of distinct parts(part, canon); no two canonical forms of a type share one.
 
-    Given names stay among known given names, so they may be shared; all else is keyed anew while shared.
+    Known given names are permuted within their gender; all else is keyed anew while shared.
     """
     secret = key.encode()
 
@@ -253,17 +265,17 @@ def surrogate_table(parts: DataFrame, key: str) -> DataFrame:
         return df.select("part", "canon", draw("part", "canon").alias("stand_in"))
 
     done = None
-    rest = parts.distinct()
+    wanted = materialize(parts.distinct(), "surrogate-parts")
+    rest = wanted
     attempt = 0
     while True:
         table = materialize(drawn(rest, attempt), "surrogates")
-        first = table.groupBy("part", "stand_in").agg(F.min("canon").alias("canon"))
-        kept = table.where("part = 'given'").unionByName(first.where("part <> 'given'").select("part", "canon", "stand_in"))
+        kept = table.groupBy("part", "stand_in").agg(F.min("canon").alias("canon")).select("part", "canon", "stand_in")
         if done is not None:
-            kept = kept.join(done.select("part", "stand_in"), ["part", "stand_in"], "left_anti").select("part", "canon", "stand_in").unionByName(table.where("part = 'given'")).distinct()
+            kept = kept.join(done.select("part", "stand_in"), ["part", "stand_in"], "left_anti").select("part", "canon", "stand_in")
         done = kept if done is None else done.unionByName(kept)
         done = materialize(done, "surrogates")
-        rest = parts.distinct().join(done.select("part", "canon"), ["part", "canon"], "left_anti")
+        rest = wanted.join(done.select("part", "canon"), ["part", "canon"], "left_anti")
         if not rest.take(1):
             return done
         attempt += 1

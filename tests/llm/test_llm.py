@@ -119,6 +119,14 @@ def test_written_addresses_are_distinct(spark):
     assert len(set(written_for(spark, "address", ["PO Box 4821", "P.O. Box 4821", "P O Box 4821"]))) == 1
 
 
+def test_given_names_are_permuted(spark):
+    names = sorted({personal_information.NICKNAMES.get(w, w) for w in personal_information.GIVEN})
+    written = [w[6:-1].split()[0] for w in written_for(spark, "name", [f"{x.title()} Roe" for x in names])]
+    assert len(set(written)) == len(names) and not {x.title() for x in names if x.title() == written[names.index(x)]}
+    for x, w in zip(names, written):
+        assert (x.title() in personal_information.FEMALE) == (w in personal_information.FEMALE), (x, w)
+
+
 # p6
 
 
