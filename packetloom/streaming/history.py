@@ -22,10 +22,14 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: in
     return reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def outcome_windows(events: DataFrame, watermark: str = "30 days", length: str = "7 days") -> DataFrame:
-    """Outcomes of each status per week of event time; events repeated whole count once, late ones within the watermark count."""
+def outcome_windows(events: DataFrame, watermark: str | None = "30 days", length: str = "7 days") -> DataFrame:
+    """Outcomes of each status per week of event time; events repeated whole count once, late ones within the watermark count.
+
+    Without a watermark all events count, in any order; the ids of all outcomes then stay in the state.
+    """
     timed = events.select("id", F.col("created_at").cast("timestamp").alias("at"), F.lower("event_type").alias("event_type"), F.lower("event_status").alias("event_status"))
-    once = timed.where("event_type = 'manual_outcome' AND at IS NOT NULL").withWatermark("at", watermark).dropDuplicates(["id", "at"])
+    outcomes = timed.where("event_type = 'manual_outcome' AND at IS NOT NULL")
+    once = (outcomes.withWatermark("at", watermark) if watermark else outcomes).dropDuplicates(["id", "at"])
     return once.groupBy(F.window("at", length).alias("week"), "event_status").agg(F.count(F.lit(1)).alias("outcomes"))
 
 
@@ -48,8 +52,8 @@ def run_to_end(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
 
 
 def weekly_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes per week and status, out of the event stream."""
-    out = run_to_end(spark, outcome_windows(stream_of(spark, sf_dir, "packet_events")), "complete")
+    """Outcomes per week and status, out of the event stream; the files of the table may come in any order."""
+    out = run_to_end(spark, outcome_windows(stream_of(spark, sf_dir, "packet_events"), watermark=None), "complete")
     return out.select(F.col("week.start").cast("timestamp_ntz").alias("week_start"), "event_status", "outcomes")
 
 

@@ -90,3 +90,20 @@ def test_page_types(spark):
     assert got[1] == ("unknown", False)
     spans = {(r.doc_type, r.first_page, r.last_page) for r in page_types.spans(typed).collect()}
     assert spans == {("cover_sheet", 0, 0), ("unknown", 1, 1), ("clinical_notes", 2, 5)}
+
+
+def test_weekly_outcomes_of_unordered_files(spark, tmp_path):
+    """20 files, the newest first: more than one micro-batch, and each older by 40 days."""
+    import os
+
+    from packetloom.streaming.history import weekly_outcomes
+
+    folder = tmp_path / "packet_events.parquet"
+    rows = spark.range(20).selectExpr("id", "timestamp_ntz'2026-06-01' - make_dt_interval(cast(40 * id as int)) AS created_at", "'Manual_Outcome' AS event_type", "'Approved' AS event_status").collect()
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "id long, created_at timestamp_ntz, event_type string, event_status string").coalesce(1).write.mode("append").parquet(str(folder))
+        for f in folder.glob("*.parquet"):
+            if f.stat().st_mtime > 1e9:
+                os.utime(f, (1e6 + i, 1e6 + i))
+    got = weekly_outcomes(spark, str(tmp_path)).collect()
+    assert sum(r.outcomes for r in got) == len(got) == 20
