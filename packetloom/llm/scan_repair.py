@@ -289,7 +289,7 @@ def repairs(pages: DataFrame, confidence: DataFrame | None = None) -> DataFrame:
     forms = broken.select(F.explode(F.array("plain", "hyphened")).alias("word")).distinct()
     counted = forms.join(lexicon, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     best = Window.partitionBy("word").orderBy("cost", F.desc("n_right"), "right")
-    fixed_forms = corrections(lexicon, counted.where("n < 3")).withColumnRenamed("seen", "word").withColumn("rank", F.row_number().over(best)).where("rank = 1").select("word", "right", "n_right")
+    fixed_forms = corrections(lexicon, counted).withColumnRenamed("seen", "word").withColumn("rank", F.row_number().over(best)).where("rank = 1").select("word", "right", "n_right")
     judged = materialize(
         counted.join(fixed_forms, "word", "left").select("word", F.coalesce("right", "word").alias("right"), F.greatest("n", F.coalesce("n_right", F.lit(0))).alias("n")),
         "scan-forms",

@@ -186,6 +186,12 @@ def test_scan_repair(spark):
     assert text[0] == "The imaging report shows long-standing pain compared with the earlier visit" and text[1] is None
 
 
+def test_broken_words_with_a_frequent_misread(spark):
+    pages = [(f"g{i}", ["The imaging report shows the request"]) for i in range(30)] + [(f"m{i}", ["The irnaging report shows the request"]) for i in range(5)]
+    df = spark.createDataFrame([*pages, ("n", ["The irnag-\ning report shows the request"])], "packet_id string, pages array<string>")
+    assert [r.fixed for r in scan_repair.repairs(df).where("packet_id = 'n' AND kind = 'hyphen'").collect()] == ["imaging"]
+
+
 # p8
 
 
