@@ -9,7 +9,7 @@ those pairs are verified with a banded edit distance, word by word.
 Verified pairs become groups: a spelling joins the nearest better attested one (first those
 written as in a roster, "Given Surname, CREDENTIAL", then the more frequent). A name with only an
 initial joins a group if its nearest full names belong to one group; if they do not, it stays
-alone. Differing middle initials or credentials part names.
+with the initial-only spellings it agrees with. Differing middle initials or credentials part names.
 
 Defined results: nulls, blanks and placeholder writings are no names; names are compared within
 their block only (patients of one birth date); equal strings are one name; a name alone in its
@@ -31,7 +31,7 @@ from packetloom.session import materialize
 
 #: Edits allowed in one word.
 EDITS = 2
-#: Edits the segments of a form must withstand: a swap of neighbours counts two.
+#: Edits the segments of a form must withstand: a swap of neighbours counts one (see `lookups`).
 FULL_EDITS, SURNAME_EDITS = 3, 2
 
 #: Short forms of given names (fixed values).
@@ -164,7 +164,10 @@ def segments(length: int, k: int) -> list[tuple[int, int]]:
 
 
 def lookups(form: str, k: int) -> Iterator[tuple[int, int, str]]:
-    """(length of the other form, segment number, substring) to look up; shifts that edits on either side allow."""
+    """(length of the other form, segment number, substring) to look up; shifts that edits on either side allow.
+
+    A swap across a border counts for the segment before it; the one after it is met by undoing the swap.
+    """
     n = len(form)
     for length in range(max(k + 1, n - k), n + k + 1):
         delta = n - length
@@ -173,6 +176,8 @@ def lookups(form: str, k: int) -> Iterator[tuple[int, int, str]]:
             high = min(n - size, start + i, start + delta + (k - i))
             for at in range(low, high + 1):
                 yield length, i, form[at : at + size]
+                if i and at and form[at - 1] != form[at]:
+                    yield length, i, form[at - 1] + form[at + 1 : at + size]
 
 
 def agree(a: tuple, b: tuple) -> float | None:
@@ -308,7 +313,7 @@ def groups(read: DataFrame) -> DataFrame:
         .groupBy("a", "own")
         .agg(F.min("host").alias("host"), F.max("host").alias("last"))
     )
-    joined = settled.withColumn("host", F.when(F.col("host") == F.col("last"), F.col("host"))).select(F.col("a").alias("id"), F.coalesce("host", "a").alias("host"))
+    joined = settled.withColumn("host", F.when(F.col("host") == F.col("last"), F.col("host"))).select(F.col("a").alias("id"), F.coalesce("host", "own").alias("host"))
     return tree.join(joined, "id", "left").select("id", F.coalesce("host", "root").alias("root"))
 
 

@@ -84,6 +84,22 @@ def test_ambiguous_initial_stays_alone(spark):
     assert pairs_of(spark, names) == set()
 
 
+def test_lookups_meet_swaps():
+    rnd = random.Random(2)
+    for _ in range(2000):
+        a = "".join(rnd.sample("abcdefghijklmnopqrst", rnd.randint(6, 16)))
+        b, spots = a, sorted(rnd.sample(range(0, len(a) - 1, 2), 3))
+        for i in spots:
+            b = b[:i] + b[i + 1] + b[i] + b[i + 2 :] if rnd.random() < 0.8 else b[:i] + "x" + b[i + 1 :]
+        index = {(len(b), i, b[s : s + n]) for i, (s, n) in enumerate(name_variants.segments(len(b), 3))}
+        assert index & set(name_variants.lookups(a, 3)), (a, b)
+
+
+def test_ambiguous_initials_keep_each_other(spark):
+    names = [("patient", "d", x, n) for x, n in (("Edward Norfield", 3), ("Elizabeth Norfield", 3), ("E. Norfield", 2), ("Norfield, E", 1))]
+    assert pairs_of(spark, names) == {("E. Norfield", "Norfield, E")}
+
+
 # p5
 
 
