@@ -204,7 +204,7 @@ def surrogate(part: str, canon: str, key: bytes, attempt: int) -> str:
         return f"{word}{draw % 997}" if part == "email" else word.capitalize()
     digits = re.sub(r"\D", "", canon)
     new = str(draw % 10 ** max(1, len(digits))).zfill(len(digits))
-    if part == "phone" and len(digits) >= 7:
+    if part == "phone" and len(digits) >= 7 and attempt < 2:  # few numbers have 555, so later attempts vary all digits
         new = new[:-7] + "555" + new[-4:]
     if part == "box":  # the length of the original leaves few numbers, so later attempts take more digits
         return str(draw % 10 ** (len(digits) + attempt)).zfill(len(digits) + attempt)

@@ -143,6 +143,12 @@ def test_given_names_are_permuted(spark):
         assert (x.title() in personal_information.FEMALE) == (w in personal_information.FEMALE), (x, w)
 
 
+def test_phones_outnumber_the_555_numbers():
+    drawn = {personal_information.surrogate("phone", f"{i:07d}", b"k", attempt) for i in range(3000) for attempt in range(8)}
+    assert len(drawn) > 10_000 and all(len(x) == 7 for x in drawn)
+    assert personal_information.surrogate("phone", "2345678", b"k", 0).startswith("555")
+
+
 # p6
 
 
