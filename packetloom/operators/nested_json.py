@@ -2,9 +2,11 @@
 
 The texts of a batch are laid into one byte buffer. Bitmaps mark quotes that no backslash run
 escapes, the inside of strings (parity of the running quote count), brackets, braces, commas
-and colons outside strings; depths are running sums of opening minus closing marks. From these
-the spans of members and elements are read, and every object becomes a row that names its
-parent. A string whose content is itself JSON is laid into the next round's buffer, under the
+and colons outside strings; depths are running sums of opening minus closing marks. A mark's
+container is the last opening mark one level up before it, its place in an array the number of
+commas of its level since then, its name the string before the last colon of its level: all read
+level by level from sorted positions, for a whole batch at once. Every object becomes a row that
+names its parent. A string whose content is itself JSON is laid into the next round's buffer, under the
 path of the string.
 
 Whether a lone object under a member name counts as element 0 is known only after the whole
@@ -59,94 +61,104 @@ def structure(buffer: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark | quote)
 
 
-def depths(buffer: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Nesting depth after each mark, by a running sum over all texts (balanced texts end at 0)."""
-    b = buffer[marks]
-    return np.cumsum(((b == 123) | (b == 91)).astype(np.int64) - ((b == 125) | (b == 93)))
+def _readable(text: str) -> str | None:
+    """The text if it is JSON, written anew if a name is repeated in an object; else None."""
+    if text.lstrip()[:1] not in ("{", "[", '"'):
+        return None
+    repeated = False
 
+    def members(pairs: list[tuple]) -> dict:
+        nonlocal repeated
+        found = dict(pairs)
+        repeated |= len(found) != len(pairs)
+        return found
 
-def _readable(text: str) -> bool:
-    head = text.lstrip()[:1]
-    if head not in ("{", "[", '"'):
-        return False
     try:
-        json.loads(text)
+        value = json.loads(text, object_pairs_hook=members)
     except (ValueError, RecursionError):
-        return False
-    return True
+        return None
+    return json.dumps(value) if repeated else text
 
 
-def _walk(raw: bytes, marks: list[int], kinds: list[int], lo: int, hi: int, path: str, out: list, nested: list, tag: tuple) -> None:
-    """Read the spans of one text, whose marks are lo..hi, under the marked path of its root.
+def spans(buffer: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Values that may hold objects, read from the depths of the marks; all arrays run over these values.
 
-    The stack holds [is_object, path, index of the current element] of what is open.
+    Returns (position, end, is_string, is_object, parent, index, name_from, name_to): `parent` is the
+    number of the value around it or -1, `index` its place in an array or -1 in an object, and
+    name_from..name_to the span of its member name. Only strings that may hold JSON are kept.
     """
-    stack: list[list] = []
-    name = ""
-    i = lo
-    while i < hi:
-        k = kinds[i]
-        if k == 34:  # a string: this quote and the next one
-            start, end = marks[i] + 1, marks[i + 1]
-            i += 2
-            if stack and stack[-1][0] and i < hi and kinds[i] == 58:
-                text = raw[start:end]
-                name = json.loads(b'"' + text + b'"') if b"\\" in text else text.decode("utf-8", "surrogatepass")
-                i += 1
-            elif raw[start : start + 24].lstrip()[:1] in (b"{", b"[", b"\\", b""):
-                nested.append((tag, _child(stack, name, path), raw[start - 1 : end + 1]))
-            continue
-        if k == 123 or k == 91:
-            here = _child(stack, name, path)
-            if k == 123 and here:
-                if here.endswith("]"):
-                    holder = here.rpartition("[")[0].rpartition(STEP)[2]
-                    here += OBJECT
-                    out.append((*tag, here, "" if holder.endswith("]") else holder))
-                else:
-                    here += LONE + OBJECT
-                    out.append((*tag, here, None))
-            stack.append([k == 123, here, 0])
-        elif k == 125 or k == 93:
-            stack.pop()
-        elif k == 44 and not stack[-1][0]:
-            stack[-1][2] += 1
-        i += 1
-
-
-def _child(stack: list[list], name: str, path: str) -> str:
-    """Path of the value that begins here."""
-    if not stack:
-        return path
-    is_object, here, index = stack[-1]
-    if is_object:
-        return f"{here}{STEP}{name}" if here else name
-    return f"{here}[{index}]"
+    marks = structure(buffer)
+    kind = buffer[marks]
+    opens, closes = (kind == 123) | (kind == 91), (kind == 125) | (kind == 93)
+    depth = np.cumsum(opens.astype(np.int64) - closes) - opens  # of what is around each mark
+    quotes = np.flatnonzero(kind == 34)
+    starts, stops = quotes[::2], quotes[1::2]
+    follows = np.append(kind, 0)[stops + 1]
+    names = follows == 58
+    inner = buffer[np.minimum(marks[starts] + 1, len(buffer) - 1)]
+    may_hold = ~names & ((inner == 123) | (inner == 91) | (inner == 92) | (inner == 32) | (inner == 9))
+    openers = np.flatnonzero(opens)
+    at = np.concatenate((openers, starts[may_hold]))  # number of the mark that begins each value
+    end = np.concatenate((marks[openers], marks[stops[may_hold]]))
+    order = np.argsort(at, kind="stable")
+    at, end = at[order], end[order]
+    is_string = kind[at] == 34
+    level = depth[at]
+    parent, index = np.full(len(at), -1), np.full(len(at), -1)
+    name_from, name_to = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    colons, commas = np.flatnonzero(kind == 58), np.flatnonzero(kind == 44)
+    colon_level, comma_level = depth[colons], depth[commas]
+    value_at_open = np.flatnonzero(~is_string)
+    for d in range(1, int(level.max(initial=0)) + 1):
+        mine = np.flatnonzero(level == d)
+        around = value_at_open[level[value_at_open] == d - 1]
+        own = around[np.searchsorted(at[around], at[mine]) - 1]
+        parent[mine] = own
+        in_array = kind[at[own]] == 91
+        here = commas[comma_level == d]
+        index[mine] = np.where(in_array, np.searchsorted(here, at[mine]) - np.searchsorted(here, at[own]), -1)
+        member = mine[~in_array]
+        before = colons[colon_level == d]
+        colon = before[np.searchsorted(before, at[member]) - 1]
+        name_from[member], name_to[member] = marks[colon - 2] + 1, marks[colon - 1]
+    return marks[at], end, is_string, kind[at] == 123, parent, index, name_from, name_to
 
 
 def extract(items: list[tuple[object, str]]) -> list[tuple]:
     """(…tag, marked path, array name) of every object below the root, of (tag, text) pairs."""
     out: list[tuple] = []
-    work = [(tag, "", text) for tag, text in items if text and _readable(text)]
+    work = [(tag, "", read) for tag, text in items if text and (read := _readable(text))]
     while work:
         parts = [t.encode("utf-8", "surrogatepass").replace(b"\x00", b" ") for _, _, t in work]
         raw = b"\x00".join(parts) + b"\x00"
-        buffer = np.frombuffer(raw, np.uint8)
-        marks = structure(buffer)
-        level = depths(buffer, marks)
-        ends = np.cumsum([len(p) + 1 for p in parts])
-        bounds = np.searchsorted(marks, np.concatenate(([0], ends)))
-        m, k = marks.tolist(), buffer[marks].tolist()
+        columns = spans(np.frombuffer(raw, np.uint8))
+        text_of = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), columns[0], side="right")
+        paths: list[str] = []
         nested: list[tuple] = []
-        for j, (tag, path, _) in enumerate(work):
-            if bounds[j + 1] > bounds[j]:
-                assert level[bounds[j + 1] - 1] == 0, "a readable text is balanced"
-                _walk(raw, m, k, bounds[j], bounds[j + 1], path, out, nested, tag)
-        work = []
-        for tag, path, literal in nested:
-            text = json.loads(literal)
-            if _readable(text):
-                work.append((tag, path, text))
+        spelt: dict[bytes, str] = {}
+        for j, start, end, is_string, is_object, parent, index, lo, hi in zip(text_of.tolist(), *[c.tolist() for c in columns]):
+            tag, root, _ = work[j]
+            if parent < 0:
+                path = root
+            elif index >= 0:
+                path = f"{paths[parent]}[{index}]"
+            else:
+                name = spelt.get(raw[lo:hi])
+                if name is None:
+                    name = spelt[raw[lo:hi]] = json.loads(b'"' + raw[lo:hi] + b'"')
+                path = f"{paths[parent]}{STEP}{name}" if paths[parent] else name
+            if is_string:
+                nested.append((tag, path, raw[start : end + 1]))
+            elif is_object and path:
+                if path.endswith("]"):
+                    holder = path.rpartition("[")[0].rpartition(STEP)[2]
+                    path += OBJECT
+                    out.append((*tag, path, "" if holder.endswith("]") else holder))
+                else:
+                    path += LONE + OBJECT
+                    out.append((*tag, path, None))
+            paths.append(path)
+        work = [(tag, path, read) for tag, path, literal in nested if literal[1:25].lstrip()[:1] in (b"{", b"[", b"\\", b"") and (read := _readable(json.loads(literal)))]
     return out
 
 
