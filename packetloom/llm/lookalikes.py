@@ -176,23 +176,22 @@ def canonical(documents: DataFrame) -> DataFrame:
 
 
 def _key(text: Column) -> Column:
-    """What two canonical texts share if they look the same: blanks at line ends and width of gaps do not show.
-
-    Odd tokens that no vocabulary word explains are compared letter by letter.
-    """
-    letters = "".join(a for pair in LOOKALIKES.values() for a in pair[0])
-    latin = "".join(b for pair in LOOKALIKES.values() for b in pair[1])
-    return F.sha2(F.translate(F.trim(F.regexp_replace(F.regexp_replace(text, " +", " "), r" *\n *", "\n")), letters, latin), 256)
+    """What two canonical texts share if they look the same: blanks at line ends and width of gaps do not show."""
+    return F.sha2(F.trim(F.regexp_replace(F.regexp_replace(text, " +", " "), r" *\n *", "\n")), 256)
 
 
 def alike_pairs(canon: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b): documents that look the same but are not the same string.
 
-    Groups whose members are all the same string leave before any pair is made.
+    Only distinct strings of a group are paired; their documents are joined to each pair afterwards,
+    so a million copies of one text and one variant of it cost a million rows, not their square.
     """
     seen = canon.where(F.col("canonical").rlike(r"\S")).select("doc_id", F.sha2("text", 256).alias("own"), _key(F.col("canonical")).alias("key")).distinct()
     seen = materialize(seen, "lookalike-keys")
-    several = seen.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("key")
-    left = seen.join(several, "key", "left_semi")
-    right = left.select("key", F.col("doc_id").alias("doc_id_b"), F.col("own").alias("own_b"))
-    return left.join(right, "key").where((F.col("doc_id") < F.col("doc_id_b")) & (F.col("own") != F.col("own_b"))).select(F.col("doc_id").alias("doc_id_a"), "doc_id_b")
+    texts = seen.select("key", "own").distinct()
+    several = texts.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("key")
+    texts = materialize(texts.join(several, "key", "left_semi"), "lookalike-texts")
+    pairs = texts.join(texts.withColumnRenamed("own", "other"), "key").where("own < other")
+    left = seen.select("own", F.col("doc_id").alias("a"))
+    right = seen.select(F.col("own").alias("other"), F.col("doc_id").alias("b"))
+    return pairs.join(left, "own").join(right, "other").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))

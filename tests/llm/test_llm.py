@@ -252,6 +252,16 @@ def test_mix_shares(spark):
 # p10
 
 
+def test_mix_passes_over_a_long_document(spark):
+    docs = [(i, "a", 7) for i in range(200)] + [(1000 + i, "a", 900 + i) for i in range(3)] + [(2000 + i, "b", 1) for i in range(1000)]
+    sized = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 1)], "source string, target_share double, max_repeats int")
+    for seed in range(3):
+        chosen, report = mixing.mix(sized, targets, seed=seed)
+        assert all(r.wanted_tokens * 0.995 <= r.tokens <= r.wanted_tokens for r in report.collect())
+        assert chosen.count() == chosen.select("doc_id").distinct().count()
+
+
 def alike(spark, texts):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, base string")
     return {(r.doc_id_a, r.doc_id_b) for r in lookalikes.alike_pairs(lookalikes.canonical(df)).collect()}
@@ -268,3 +278,25 @@ def test_alike(spark):
 def test_emoji_joiners_are_visible(spark):
     assert lookalikes.one_form("\U0001f9d1‍⚕️ a‍b") == "\U0001f9d1‍⚕️ ab"
     assert lookalikes.written_in("страница", "LATIN") is None and lookalikes.written_in("аcе", "LATIN") == "ace"
+
+
+def test_pairs_come_through_the_repair(spark):
+    """Other words and letters than in the test data; without the repair these pairs are not equal."""
+    words = "quarterly basalt inspection covers every access hatch beyond expected pressure".split()
+    rnd = random.Random(6)
+    texts, want = [" ".join(words)] * 3, set()
+    for n in range(40):
+        base = " ".join(rnd.sample(words, 7)) + f" {n}"
+        to = {"e": "е", "o": "о", "a": "а", "c": "с", "p": "р", "x": "х", "y": "у"}
+        odd = "".join(to[c] if c in to and rnd.random() < 0.4 else c for c in base)
+        want |= {(len(texts), len(texts) + 1)} if odd != base else set()
+        texts += [base, odd]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    canon = lookalikes.canonical(df)
+    found = {(r.doc_id_a, r.doc_id_b) for r in lookalikes.alike_pairs(canon).collect()}
+    unrepaired = lookalikes.alike_pairs(canon.withColumn("canonical", F.col("base"))).count()
+    assert len(found & want) >= 0.95 * max(len(want), len(found)) and unrepaired == 0
+
+
+def test_copies_are_not_paired_with_each_other(spark):
+    assert alike(spark, ["same text here"] * 50 + ["sаme text here"]) == {(i, 50) for i in range(50)}
