@@ -1,14 +1,19 @@
 """Personal information inside free text (problem 5).
 
-Mentions are found by their own shape (emails, phones, identity numbers, street addresses) and,
-for names, by what stands around them or by a known given name. Each mention is then replaced by a
-typed placeholder that holds a surrogate: keyed, of the same type and format (digits for digits,
-the same separators, case, order and shortening of names, a given name of the same gender), the
-same for every mention of the same thing, and different for different things: surrogates of all
-distinct parts are compared over the corpus and keyed anew until none is shared.
+Mentions are found by their own shape (emails, phones, identity numbers, street addresses) and, for
+names, by what stands around them: labels, titles, words of kinship, and verbs that persons do. Two
+capitalised words without such a cue are a name if the corpus' own name columns know them: these
+candidates are joined with that gazetteer, so no list of names is kept here and none is broadcast.
+
+Each mention is then replaced by a typed placeholder that holds a surrogate: keyed, of the same type
+and format (digits for digits, the same separators, case, order and shortening of names, an ending
+of the same gender), the same for every mention of the same thing, and different for different
+things: surrogates of all distinct parts are compared over the corpus and keyed anew until none is
+shared.
 
 Defined results: null and empty texts have no mentions; mentions do not overlap (the earlier and
 longer wins); the text between mentions is unchanged; a mention repeated in a text counts once.
+Names are found in Latin script.
 """
 
 from __future__ import annotations
@@ -18,19 +23,14 @@ import hmac
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.name_variants import NICKNAMES
+from packetloom.llm.name_variants import CREDENTIALS, IRREGULAR, TITLES
 from packetloom.session import materialize
 
-#: Given names by gender (fixed values).
-FEMALE = "Bettina Cordelia Elizabeth Felicity Gabriella Gwendolyn Imogen Isabella Jocelyn Katherine Lavinia Margaret Melina Nadine Octavia Patricia Rosalind Sabrina Ursula Valerie Victoria Winifred Yolanda".split()
-MALE = "Ambrose Anthony Charles Desmond Dominic Edward Evander Frederick Harold Hector Jonathan Kendrick Leonard Maurice Nathaniel Oliver Percival Quentin Reginald Robert Samuel Thaddeus Theodore Tobias William Xavier Zachary".split()
-GIVEN = frozenset(x.lower() for x in FEMALE + MALE) | frozenset(NICKNAMES) | frozenset(NICKNAMES.values())
 TYPES = ("email", "phone", "id_number", "address", "name")
 JSON_MEMBERS = ("reason_for_request", "special_instructions", "snippet")
 
@@ -53,7 +53,7 @@ ADDRESS_UPPER = re.compile(ADDRESS.pattern.replace("Avenue", "Avenue|AVE|AVENUE|
 _NOT_PHONE = re.compile(r"(?:NPI|serial|Reference|Claim line|batch|Authorization(?: Number)?|device|invoice)\W{0,3}(?:no\.?|number|#)?\W{0,3}$", re.I)
 
 _BREAK = r"(?:[-­¬‐] ?\n[a-z0-9@]+)?"
-_CAP = rf"[A-Z][A-Za-z0-9@|'’]*[A-Za-z0-9@|]{_BREAK}"
+_CAP = rf"[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ0-9@|'’]*[A-Za-zÀ-ÖØ-öø-ÿ0-9@|]{_BREAK}"
 _SHORT = r"(?!Mr|Ms|Dr|Mx|St\.)[A-Z][a-z]{0,3}\."
 _CREDENTIAL = r"(?:MD|M\.D|DO|D\.O|NP|N\.P|PA|P\.A|DPT|D\.P\.T|RN|PhD)\b"
 _NAME = rf"(?:{_CAP},\s+(?!{_CREDENTIAL})(?:{_CAP}|{_SHORT})(?:\s+[A-Z]\b\.?)?|(?:{_SHORT}|[A-Z]\s(?=[A-Z])|{_CAP})\s+(?:[A-Z]\.?\s+)?(?!{_CREDENTIAL}){_CAP})"
@@ -63,9 +63,15 @@ CUED = re.compile(
 )
 TITLED = re.compile(rf"\b(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof)\b\.?\s+(?P<name>(?:{_SHORT}|[A-Z]\s|{_CAP}\s+(?={_CAP}))?\s?{_CAP})")
 BEFORE = re.compile(rf"(?<![\w.])(?P<name>{_NAME})(?=\s+(?:signed\s+the\s+f|states\s+that|was\s+seen)|,\s+callback|\s+\(\s)")
-CAPITAL = re.compile(rf"(?<![\w@])[A-Z][A-Za-z0-9@|'’]+(?![\w@])")
-AFTER_GIVEN = re.compile(rf"\s+(?:[A-Z]\.?\s+)?(?!{_CREDENTIAL}|The\b|DOB\b|ICN\b)[A-Z][A-Za-z0-9@|'’]{{3,}}{_BREAK}")
-BEFORE_GIVEN = re.compile(r"[A-Z][A-Za-z0-9@|'’]{3,},\s+$")
+#: Words before and after a name that tell a person (fixed values of English use).
+_DOING = r"(?:called|calls|reports|reported|states|stated|says|said|told|tells|denies|denied|describes|described|signed|asked|asks|wrote|writes|presents|presented|lives|agreed|agrees|prefers|requested|requests|attended|arrived|returned|complains|complained|confirmed|explained|mentioned|notes|noted|was\s+(?:seen|examined|treated|called|told|asked)|by\s+(?:phone|fax|mail|email)|on\s+the\s+phone|left\s+a\s+message)"
+DOES = re.compile(rf"(?<![\w.])(?P<name>{_CAP}\s+(?:[A-Z]\.?\s+)?{_CAP})(?=\s+{_DOING}\b)")
+_TOLD = r"(?:(?:seen|signed|reviewed|examined|treated|dictated|prepared|completed|witnessed|referred)\s+by|(?:spoke|met|talked|discussed|visit|appointment|follow-up)\s+with|(?:call|letter|message|note|voicemail)\s+from|referred\s+to|addressed\s+to|attn:?|care\s+of)"
+TOLD = re.compile(rf"\b(?i:{_TOLD})\s+{_TITLE}(?P<name>{_CAP}\s+(?:[A-Z]\.?\s+)?{_CAP})(?![\w@])(?!\s+[A-Z][a-z])")
+#: Two capitalised words, or a surname, a comma and a given name: a name if the gazetteer knows it.
+PAIR = re.compile(rf"(?<![\w@.-])(?P<name>{_CAP},\s+(?![A-Z]{{2}}\b){_CAP}|{_CAP}\s+(?:[A-Z]\.?\s+)?{_CAP})(?!\s*:)(?![\w@])")
+_CAPITAL_BEFORE = re.compile(r"[A-Z][\w'’]*\s+$")
+_NO_PERSON = re.compile(r"\b(?:The|This|That|Patient|Name|Veteran|Member|Ordering|Referring|Provider|Signed|Date|Birth|Number|Authorization|Reference|Address|Notes|Clinical|Report|Request|Letter|Summary|Sheet|Form|Page|Street|Road|Box|Route|Dr|Mr|Mrs|Ms|Miss)\b", re.I)
 #: In one-line remarks names come in any case.
 REMARK = re.compile(r"\s-\s+(?:per\s+)?(?P<name>[a-z][\w'’]*\.?,?\s+(?:[a-z]\.?\s+)?[a-z][\w'’]+|[a-z]\.\s?[a-z][\w'’]+)\s*(?=[;|,/\t\n•\"”]|$)", re.I)
 _NO_NAME = re.compile(r"\b(?:left|right|hip|knee|ankle|wrist|shoulder|lumbar|thoracic|cervical|sacroiliac|lumbosacral|stable|spine|email|id|pt|cell|lives|region)\b", re.I)
@@ -73,7 +79,7 @@ _FACILITY = re.compile(r"\b(?:Center|Clinic|Institute|Services|Associates|Group|
 
 
 def mentions(text: str, remark: bool = False) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the mentions of a text, in order, without overlap.
+    """(start, end, type) of the mentions of a text, in order, without overlap; "name?" are those the gazetteer must know.
 
     `remark`: a short remark typed in any case (diagnosis_text) rather than running text.
     """
@@ -87,24 +93,25 @@ def mentions(text: str, remark: bool = False) -> list[tuple[int, int, str]]:
             found.append((m.start(), m.end(), "phone"))
     for m in (ADDRESS_ANY if remark else ADDRESS_UPPER).finditer(text):
         found.append((m.start(), m.end(), "address"))
+    maybe: list[tuple[int, int, str]] = []
     if remark:
         for m in REMARK.finditer(text):
-            words = re.findall(r"\w+", m["name"].lower())
-            if not _NO_NAME.search(m["name"]) and ("per " in m[0].lower() or len(words[0]) == 1 or any(w in GIVEN for w in words)):
-                found.append((m.start("name"), m.end("name"), "name"))
+            if not _NO_NAME.search(m["name"]):
+                told = "per " in m[0].lower() or len(re.findall(r"\w+", m["name"])[0]) == 1
+                (found if told else maybe).append((m.start("name"), m.end("name"), "name" if told else "name?"))
     else:
-        for how in (CUED, BEFORE, TITLED):
+        for how in (CUED, BEFORE, TITLED, DOES, TOLD):
             for m in how.finditer(text):
-                if not _FACILITY.search(m["name"]) and sum(c.isdigit() for c in m["name"]) < 3:
-                    found.append((m.start("name"), m.end("name"), "name"))
-        for m in CAPITAL.finditer(text):
-            if m[0].lower() in GIVEN:
-                after = AFTER_GIVEN.match(text, m.end())
-                before = BEFORE_GIVEN.search(text, max(0, m.start() - 40), m.start())
-                if before:
-                    found.append((before.start(), m.end(), "name"))
-                elif after and not _FACILITY.search(after[0]):
-                    found.append((m.start(), after.end(), "name"))
+                if _FACILITY.search(m["name"]) or sum(c.isdigit() for c in m["name"]) >= 3:
+                    continue
+                if how in (DOES, TOLD) and (_NO_PERSON.search(m["name"]) or _CAPITAL_BEFORE.search(text, max(0, m.start("name") - 30), m.start("name"))):
+                    continue
+                found.append((m.start("name"), m.end("name"), "name"))
+        at = 0
+        while m := PAIR.search(text, at):
+            at = m.end() if not _NO_PERSON.search(m["name"]) and not _FACILITY.search(m["name"]) else m.start() + len(m["name"].split()[0])
+            if at == m.end() and not _FACILITY.match(text, at + 1):
+                maybe.append((m.start("name"), m.end("name"), "name?"))
     kept: list[tuple[int, int, str]] = []
     order = {t: i for i, t in enumerate(TYPES)}
     for s, e, t in sorted(found, key=lambda x: (x[0], order[x[2]], -x[1])):
@@ -112,9 +119,28 @@ def mentions(text: str, remark: bool = False) -> list[tuple[int, int, str]]:
             kept.append((s, e, t))
         elif t == kept[-1][2] == "name" and e > kept[-1][1] and s == kept[-1][0]:
             kept[-1] = (s, e, t)
+    if maybe:
+        kept = sorted(kept + [x for x in maybe if not any(s < x[1] and x[0] < e for s, e, _ in kept)])
     return kept
 
 
+def name_key(name: str) -> str | None:
+    """The two words that name a person, in one order; None of what is no full name."""
+    words = [w for w in re.findall(r"[^\W\d_]{2,}", re.sub(r"[-­¬‐] ?\n", "", name.lower())) if w not in CREDENTIALS and w not in TITLES]
+    return " ".join(sorted(words)) if len(words) == 2 else None
+
+
+def gazetteer(names: DataFrame) -> DataFrame:
+    """(known): keys of the full names of names(name); organisations have other words and stay out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = {name_key(n) for n in b["name"] if n and not _FACILITY.search(n)}
+            yield pd.DataFrame({"known": sorted(k for k in keys if k)})
+
+    return names.select("name").mapInPandas(run, "known string").select(F.xxhash64("known").alias("known")).distinct()
+
+
 def json_texts(text: str) -> list[str]:
     """The free-text members of readable JSON at any depth, JSON inside strings included."""
     out: list[str] = []
@@ -140,8 +166,11 @@ def json_texts(text: str) -> list[str]:
     return out
 
 
-def find_mentions(rows: DataFrame) -> DataFrame:
-    """(field, row_key, pii_type, value) of rows(field, row_key, texts); JSON texts are read, remarks have any case."""
+def find_mentions(rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(field, row_key, pii_type, value) of rows(field, row_key, texts); JSON texts are read, remarks have any case.
+
+    `names(name)`: the corpus' name columns, for names that nothing around them tells.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -151,10 +180,19 @@ def find_mentions(rows: DataFrame) -> DataFrame:
                     if not t:
                         continue
                     for one in json_texts(t) if field == "fields_json" else (t,):
-                        out.update((field, key, kind, one[s:e]) for s, e, kind in mentions(one, field == "diagnosis_text"))
-            yield pd.DataFrame(list(out), columns=["field", "row_key", "pii_type", "value"])
+                        for s, e, kind in mentions(one, field == "diagnosis_text"):
+                            known = name_key(one[s:e]) if kind == "name?" else None
+                            if kind != "name?" or known:
+                                out.add((field, key, kind.rstrip("?"), one[s:e], known))
+            yield pd.DataFrame(list(out), columns=["field", "row_key", "pii_type", "value", "known"])
 
-    return rows.select("field", "row_key", "texts").mapInPandas(run, "field string, row_key string, pii_type string, value string").distinct()
+    columns = ["field", "row_key", "pii_type", "value"]
+    found = rows.select("field", "row_key", "texts").mapInPandas(run, "field string, row_key string, pii_type string, value string, known string")
+    if names is None:
+        return found.where("known IS NULL").select(columns).distinct()
+    found = materialize(found, "mentions")
+    told = found.where("known IS NOT NULL").withColumn("known", F.xxhash64("known")).join(gazetteer(names), "known", "left_semi")
+    return found.where("known IS NULL").select(columns).unionByName(told.select(columns)).distinct()
 
 
 # Surrogates
@@ -164,7 +202,7 @@ def parts_of(kind: str, value: str) -> list[tuple[str, str]]:
     """(part type, canonical form) of what a mention refers to; forms of one thing share parts."""
     if kind == "name":
         words = [w for w in re.findall(r"[\w@|'’]+", re.sub(r"[-­¬‐] ?\n", "", value)) if len(w) > 1]
-        return [("given" if w.lower() in GIVEN else "surname", NICKNAMES.get(w.lower(), w.lower())) for w in words]
+        return [("name", IRREGULAR.get(w.lower(), w.lower())) for w in words]
     if kind == "email":
         plain = re.sub(r"\s*[\[(]?\bdot\b[\])]?\s*", ".", re.sub(r"\s*[\[(]?\bat\b[\])]?\s*", "@", value.lower()))
         return [("email", plain)]
@@ -179,28 +217,17 @@ def parts_of(kind: str, value: str) -> list[tuple[str, str]]:
 
 _SYLLABLES = [a + b for a in ("b", "br", "c", "cl", "d", "f", "g", "h", "k", "l", "m", "n", "p", "r", "s", "st", "t", "th", "v", "w") for b in ("a", "e", "i", "o", "u")]
 _ENDS = ["by", "combe", "den", "ford", "ham", "ley", "low", "more", "ney", "rick", "sby", "ton", "wick", "worth"]
-
-
-@lru_cache(maxsize=8)
-def _given_names(key: bytes) -> dict[str, str]:
-    """Each canonical given name -> another of its gender, in a keyed cycle: no two share one, none stays."""
-    canons = sorted({NICKNAMES.get(w, w) for w in GIVEN})
-    out = {}
-    for women in (True, False):
-        names = [c for c in canons if (c.title() in FEMALE or c.title() not in MALE and c.endswith("a")) == women]
-        names.sort(key=lambda c: hmac.new(key, f"given|{c}".encode(), hashlib.sha256).digest())
-        out |= {a: b.capitalize() for a, b in zip(names, names[1:] + names[:1])}
-    return out
+#: Endings of given names of women in common use; a stand-in keeps the kind of ending.
+_FEMALE_ENDS = ("a", "ine", "elle", "ette")
 
 
 def surrogate(part: str, canon: str, key: bytes, attempt: int) -> str:
     """Keyed stand-in of one part: digits for digits, a name for a name."""
     draw = int.from_bytes(hmac.new(key, f"{part}|{canon}|{attempt}".encode("utf-8", "surrogatepass"), hashlib.sha256).digest(), "big")
-    if part == "given" and canon in _given_names(key):
-        return _given_names(key)[canon]
-    if part in ("given", "surname", "email"):
+    if part in ("name", "email"):
         n = len(_SYLLABLES)
-        word = "".join(_SYLLABLES[(draw // n**i) % n] for i in range(2 + (attempt > 1))) + _ENDS[(draw // n**5) % len(_ENDS)]
+        ends = _FEMALE_ENDS if part == "name" and canon.endswith(_FEMALE_ENDS) else _ENDS
+        word = "".join(_SYLLABLES[(draw // n**i) % n] for i in range(2 + (attempt > 1) + (attempt > 4))) + ends[(draw // n**5) % len(ends)]
         return f"{word}{draw % 997}" if part == "email" else word.capitalize()
     digits = re.sub(r"\D", "", canon)
     new = str(draw % 10 ** max(1, len(digits))).zfill(len(digits))
@@ -236,8 +263,7 @@ def in_place(kind: str, value: str, given: dict[tuple[str, str], str]) -> str:
             w = m[0]
             if len(w) == 1:
                 return w
-            part = "given" if w.lower() in GIVEN else "surname"
-            return _cased(w, given.get((part, NICKNAMES.get(w.lower(), w.lower())), "Person"))
+            return _cased(w, given.get(("name", IRREGULAR.get(w.lower(), w.lower())), "Person"))
 
         new = re.sub(r"[\w@|'’]+", swap, flat)
     elif kind == "email":
@@ -253,7 +279,7 @@ def in_place(kind: str, value: str, given: dict[tuple[str, str], str]) -> str:
 def surrogate_table(parts: DataFrame, key: str) -> DataFrame:
     """(part, canon, stand_in) of distinct parts(part, canon); no two canonical forms of a type share one.
 
-    Known given names are permuted within their gender; all else is keyed anew while shared.
+    Stand-ins are keyed anew while shared; later attempts draw from more.
     """
     secret = key.encode()
 
@@ -281,11 +307,12 @@ def surrogate_table(parts: DataFrame, key: str) -> DataFrame:
         attempt += 1
 
 
-def redact(rows: DataFrame, key: str = "packetloom") -> DataFrame:
+def redact(rows: DataFrame, key: str, names: DataFrame | None = None) -> DataFrame:
     """(field, row_key, at, text): every text of rows(field, row_key, texts) with stand-ins for its mentions.
 
-    `at` is the index of the text in its row. JSON texts are redacted member by member: their
-    free-text members come out one by one.
+    `key` is the secret the stand-ins are keyed with, `names(name)` as in `find_mentions`. `at` is the
+    index of the text in its row. JSON texts are redacted member by member: their free-text members
+    come out one by one.
     """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,28 +322,37 @@ def redact(rows: DataFrame, key: str = "packetloom") -> DataFrame:
                 flat = [x for t in (texts if texts is not None else ()) for x in ((json_texts(t) if t else []) if field == "fields_json" else [t])]
                 for at, t in enumerate(flat):
                     spans = mentions(t, field == "diagnosis_text") if t else []
-                    out.append((field, k, at, t, [{"s": s, "e": e, "kind": kind} for s, e, kind in spans], [{"part": p, "canon": c} for s, e, kind in spans for p, c in parts_of(kind, t[s:e])]))
-            yield pd.DataFrame(out, columns=["field", "row_key", "at", "text", "spans", "parts"])
+                    spans = [(s, e, kind, name_key(t[s:e]) if kind == "name?" else None) for s, e, kind in spans]
+                    spans = [x for x in spans if x[2] != "name?" or x[3]]
+                    out.append((field, k, at, t, [{"s": s, "e": e, "kind": kind.rstrip("?"), "known": known, "parts": [{"part": p, "canon": c} for p, c in parts_of(kind.rstrip("?"), t[s:e])]} for s, e, kind, known in spans]))
+            yield pd.DataFrame(out, columns=["field", "row_key", "at", "text", "spans"])
 
-    schema = "field string, row_key string, at int, text string, spans array<struct<s:int,e:int,kind:string>>, parts array<struct<part:string,canon:string>>"
+    schema = "field string, row_key string, at int, text string, spans array<struct<s:int,e:int,kind:string,known:string,parts:array<struct<part:string,canon:string>>>>"
     texts = materialize(rows.select("field", "row_key", "texts").mapInPandas(split, schema), "redaction-texts").withColumn("id", F.xxhash64("field", "row_key", "at", "text"))
-    long = texts.select("id", F.explode("parts").alias("p")).select("id", "p.part", "p.canon").distinct()
-    known = long.join(surrogate_table(long.select("part", "canon"), key), ["part", "canon"]).groupBy("id").agg(F.collect_list(F.struct("part", "canon", "stand_in")).alias("known"))
+    long = texts.select("id", F.explode("spans").alias("x")).select("id", "x.s", F.xxhash64("x.known").alias("known"), F.col("x.known").isNull().alias("told"), "x.parts")
+    if names is not None:
+        known = long.where("NOT told").join(gazetteer(names), "known", "left_semi").select("id", "s", "known", "told", "parts")
+        long = long.where("told").unionByName(known)
+    else:
+        long = long.where("told")
+    long = long.select("id", "s", F.explode("parts").alias("p")).select("id", "s", "p.part", "p.canon").distinct()
+    table = surrogate_table(long.select("part", "canon"), key)
+    stand_ins = long.join(table, ["part", "canon"]).groupBy("id").agg(F.collect_list(F.struct("s", "part", "canon", "stand_in")).alias("known"))
 
     @F.pandas_udf("string")
     def written(text: pd.Series, spans: pd.Series, known: pd.Series) -> pd.Series:
         out = []
         for t, where, have in zip(text, spans, known):
             given = {(r["part"], r["canon"]): r["stand_in"] for r in have}
+            real = {r["s"] for r in have}
             pieces, last = [], 0
             for x in where:
-                pieces += [t[last : x["s"]], in_place(x["kind"], t[x["s"] : x["e"]], given)]
-                last = x["e"]
+                if x["s"] in real:
+                    pieces += [t[last : x["s"]], in_place(x["kind"], t[x["s"] : x["e"]], given)]
+                    last = x["e"]
             out.append("".join(pieces) + t[last:])
         return pd.Series(out, index=text.index, dtype=object)
 
-    plain = texts.where(F.size("spans") == 0).select("field", "row_key", "at", "text")
-    changed = texts.where(F.size("spans") > 0).join(known, "id").select("field", "row_key", "at", written("text", "spans", "known").alias("text"))
+    plain = texts.join(stand_ins.select("id"), "id", "left_anti").select("field", "row_key", "at", "text")
+    changed = texts.join(stand_ins, "id").select("field", "row_key", "at", written("text", "spans", "known").alias("text"))
     return plain.unionByName(changed)
-
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,11 +83,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different strings that name the same provider, or the same patient of one birth date."""
-    runs = table(spark, sf_dir, "packet_runs", ["provider_name", "ordering_provider", "referring_provider", "patient_name", "dob"])
-    provider = [F.struct(F.lit("provider").alias("kind"), F.lit("").alias("block"), F.col(c).alias("name")) for c in ("provider_name", "ordering_provider", "referring_provider")]
-    patient = F.struct(F.lit("patient").alias("kind"), F.col("dob").alias("block"), F.col("patient_name").alias("name"))
-    names = runs.select(F.explode(F.array(*provider, patient)).alias("x")).select("x.*").where("name IS NOT NULL AND block IS NOT NULL").groupBy("kind", "block", "name").agg(F.count(F.lit(1)).alias("n"))
-    return name_variants.variant_pairs(names).select(F.col("kind").alias("name_kind"), F.col("block").alias("dob"), "name_a", "name_b")
+    runs = table(spark, sf_dir, "packet_runs", ["file_name", "provider_name", "ordering_provider", "referring_provider", "patient_name", "dob"])
+    provider = [F.struct(F.lit("provider").alias("kind"), F.lit("").alias("block"), F.col(c).alias("name"), F.concat(F.lit(f"{c}|"), "file_name").alias("place")) for c in ("provider_name", "ordering_provider", "referring_provider")]
+    patient = F.struct(F.lit("patient").alias("kind"), F.col("dob").alias("block"), F.col("patient_name").alias("name"), F.concat(F.lit("patient|"), "dob").alias("place"))
+    said = runs.select(F.explode(F.array(*provider, patient)).alias("x")).select("x.*").where("name IS NOT NULL AND block IS NOT NULL").groupBy("kind", "block", "name", "place").agg(F.count(F.lit(1)).alias("n"))
+    said = materialize(said, "names-said")
+    names = said.groupBy("kind", "block", "name").agg(F.sum("n").alias("n"))
+    return name_variants.variant_pairs(names, said.where("place IS NOT NULL")).select(F.col("kind").alias("name_kind"), F.col("block").alias("dob"), "name_a", "name_b")
 
 
 def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,14 +101,27 @@ def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(of_runs)
 
 
+def _name_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["patient_name", "provider_name", "ordering_provider", "referring_provider"]
+    return table(spark, sf_dir, "packet_runs", columns).select(F.explode(F.array(*columns)).alias("name")).where("name IS NOT NULL").distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every mention of personal information in pages, diagnoses and free-text members of JSON."""
-    return personal_information.find_mentions(_personal_texts(spark, sf_dir))
+    return personal_information.find_mentions(_personal_texts(spark, sf_dir), _name_columns(spark, sf_dir))
+
+
+_session_keys: dict[str, str] = {}
+
+
+def redaction_key(spark: SparkSession) -> str:
+    """`packetloom.redaction.key` of the session; where it is unset, a secret drawn anew for each application."""
+    return spark.conf.get("packetloom.redaction.key", None) or _session_keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(16))
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with a typed stand-in in place of each mention."""
-    return personal_information.redact(_personal_texts(spark, sf_dir).distinct())
+    return personal_information.redact(_personal_texts(spark, sf_dir).distinct(), redaction_key(spark), _name_columns(spark, sf_dir))
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
