@@ -160,7 +160,7 @@ def read_name(name: str) -> dict:
 
 def stem(nick: str) -> str:
     """A given name without a fond ending: danny -> dan, charlie -> charl."""
-    base = re.sub(r"(?:ie|ey|y|i|e)$", "", nick)
+    base = re.sub(r"(?:ie|ey|i|e|(?<=[b-df-hj-np-tv-xz]{2})y)$", "", nick)  # one consonant before y is a name of its own: mary
     return base[:-1] if len(base) > 2 and base[-1] == base[-2] else base
 
 
