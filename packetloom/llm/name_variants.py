@@ -46,7 +46,7 @@ IRREGULAR = {
     "bess": "elizabeth", "betsy": "elizabeth", "betty": "elizabeth", "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert", "cathy": "katherine", "chuck": "charles", "dick": "richard", "dot": "dorothy", "dotty": "dorothy",
     "gail": "abigail", "ginny": "virginia", "hal": "harold", "hank": "henry", "harry": "harold", "jack": "john", "jenny": "jennifer", "jerry": "gerald", "jim": "james", "jimmy": "james", "joe": "joseph", "kate": "katherine", "kit": "katherine", "kitty": "katherine",
     "larry": "lawrence", "liz": "elizabeth", "lizzie": "elizabeth", "lou": "louis", "madge": "margaret", "maggie": "margaret", "meg": "margaret", "mick": "michael", "mike": "michael", "molly": "mary", "nancy": "ann", "ned": "edward", "nell": "eleanor", "nick": "nicholas", "patsy": "patricia", "peg": "margaret", "peggy": "margaret", "polly": "mary",
-    "rick": "richard", "sally": "sarah", "sandy": "alexander", "steve": "stephen", "ted": "theodore", "teddy": "theodore", "tina": "christina", "tony": "anthony", "trish": "patricia", "wm": "william",
+    "rick": "richard", "sally": "sarah", "sandy": "alexander", "steve": "stephen", "ted": "theodore", "teddy": "theodore", "tina": "christina", "toby": "tobias", "tony": "anthony", "trish": "patricia", "wm": "william",
 }
 CREDENTIALS = frozenset("md do np pac dpt rn phd dc dds dpm pa pt ot lcsw aprn fnp".split())
 TITLES = frozenset("dr doctor mr mrs ms miss prof".split())

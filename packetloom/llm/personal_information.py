@@ -102,7 +102,7 @@ def mentions(text: str, remark: bool = False) -> list[tuple[int, int, str]]:
     else:
         for how in (CUED, BEFORE, TITLED, DOES, TOLD):
             for m in how.finditer(text):
-                if _FACILITY.search(m["name"]) or sum(c.isdigit() for c in m["name"]) >= 3:
+                if _FACILITY.search(m["name"]) or len(_NO_PERSON.findall(m["name"])) > 1 or sum(c.isdigit() for c in m["name"]) >= 3:
                     continue
                 if how in (DOES, TOLD) and (_NO_PERSON.search(m["name"]) or _CAPITAL_BEFORE.search(text, max(0, m.start("name") - 30), m.start("name"))):
                     continue
