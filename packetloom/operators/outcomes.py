@@ -94,3 +94,18 @@ def auc(scored: DataFrame) -> DataFrame:
     ranked = running_sums(grouped, "p", ["neg"], "auc").withColumn("neg_below", F.col("neg_upto") - F.col("neg"))
     totals = ranked.agg(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("wins"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     return totals.select(F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("wins") / (F.col("positives") * F.col("negatives"))).alias("auc"), "positives", "negatives")
+
+
+def reliability(judged: DataFrame) -> DataFrame:
+    """Brier score, log loss, AUC, calibration error over five bins and reliability of judged(label, p), which is read twice."""
+    q = F.greatest(F.lit(1e-6), F.least(F.col("p"), F.lit(1 - 1e-6)))
+    bins = judged.groupBy(F.least(F.floor(F.col("p") * 5), F.lit(4)).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("p").alias("predicted"), F.avg(F.col("label").cast("double")).alias("actual"), F.sum(F.pow(F.col("p") - F.col("label"), 2)).alias("squares"),
+        F.sum(-(F.col("label") * F.log(q) + (1 - F.col("label")) * F.log(1 - q))).alias("loss"),
+    )
+    n = F.sum("n")
+    whole = bins.agg(n.alias("sample_size"), F.round(F.sum("squares") / n, 4).alias("brier"), F.round(F.sum("loss") / n, 4).alias("log_loss"), F.round(F.sum(F.col("n") * F.abs(F.col("predicted") - F.col("actual"))) / n, 4).alias("ece"))
+    both = whole.crossJoin(auc(judged).select(F.round("auc", 4).alias("auc")))  # two one-row tables
+    part = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))
+    weighed = 0.4 * part(F.col("sample_size") / 80) + 0.25 * part((F.col("auc") - 0.5) / 0.5) + 0.2 * part(1 - F.col("ece") / 0.3) + 0.15 * part(1 - F.col("brier") / 0.35)
+    return both.withColumn("reliability", F.round(weighed, 2)).withColumn("band", F.when(F.col("reliability") >= 0.78, "high").when(F.col("reliability") >= 0.52, "moderate").otherwise("low"))

@@ -1,16 +1,15 @@
 """Labelled fields of pages: observations with their place, one selected value per packet and field.
 
-A field is a label at the beginning of a line and what follows it. All labels are looked for in
-one scan of the exploded lines.
+A field is a label at the beginning of a line and what follows it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.operators.extraction import ROLES, confidence
+
 #: Labels of fields (fixed values): field -> what stands before its value.
 LABELS = {
     "name": r"(?:patient name|veteran name|full name|veteran|patient|name)",
@@ -22,8 +21,6 @@ LABELS = {
     "diagnosis": r"(?:diagnosis)",
     "signed_by": r"(?:signed by|electronically signed by)",
 }
-CONFIDENCE = 0.95
-CODE = r"\b[A-TV-Z]\d{2}\.\d{1,2}\b"
 
 
 def lines(pages: DataFrame) -> DataFrame:
@@ -41,10 +38,22 @@ def _value(field: str, line: Column) -> Column:
 
 
 def observations(pages: DataFrame) -> DataFrame:
-    """(packet_id, page_index, line_no, field, value, confidence) of every labelled line."""
+    """(packet_id, page_index, line_no, field, value, role, confidence, at, snippet) of every labelled line.
+
+    `role` is the leading role of the page, `at` the place of the value in its text (from 1), `snippet` the
+    value with up to 80 characters on either side. Page texts travel with their labelled lines only as
+    far as the snippet is cut, never through a shuffle.
+    """
     found = F.array(*[F.struct(F.lit(f).alias("field"), _value(f, F.col("line")).alias("value")) for f in LABELS])
-    long = lines(pages).where(F.col("line").rlike(r"(?::|\s-\s)")).select("packet_id", "page_index", "line_no", F.explode(F.filter(found, lambda x: x["value"].isNotNull())).alias("x"))
-    return long.select("packet_id", "page_index", "line_no", "x.field", "x.value", F.lit(CONFIDENCE).alias("confidence"))
+    marked = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))), lambda x: x["line"].rlike(r"(?::|\s-\s)"))
+    role = F.coalesce(*[F.when(F.col("text").rlike(rf"(?i)\b(?:{'|'.join(words)})\b"), F.lit(r)) for r, words in ROLES.items()])
+    per_line = pages.where("text IS NOT NULL").select("packet_id", "page_index", "text", role.alias("role"), F.explode(marked).alias("m")).select("packet_id", "page_index", "text", "role", "m.*")
+    long = per_line.select("packet_id", "page_index", "line_no", "text", "role", F.explode(F.filter(found, lambda x: x["value"].isNotNull())).alias("x"))
+    sure = confidence(F.col("x.field"), F.col("x.value"), F.lower("text"), F.lit(True), F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("role"))
+    at = F.expr("locate(x.value, text)")
+    begin = F.greatest(F.lit(1), at - 80)
+    snippet = F.substring("text", begin, at - begin + F.length("x.value") + 80)
+    return long.select("packet_id", "page_index", "line_no", "x.field", "x.value", "role", sure.alias("confidence"), at.alias("at"), F.trim(F.regexp_replace(snippet, r"\s+", " ")).alias("snippet"))
 
 
 def selected(observed: DataFrame) -> DataFrame:
@@ -66,10 +75,21 @@ def redundancy(observed: DataFrame) -> DataFrame:
     return t.groupBy("packet_id", "field").agg(F.count(F.lit(1)).alias("captured"), F.countDistinct("same").alias("distinct_values")).withColumn("conflict", F.col("distinct_values") > 1)
 
 
-def codes(pages: DataFrame) -> DataFrame:
-    """(packet_id, page_index, code) of the distinct codes of every page."""
-    found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({CODE})"), F.lit(1)))).alias("code")
-    return pages.where("text IS NOT NULL").select("packet_id", "page_index", found)
+#: What tells an authorization, the surest first (fixed values).
+AUTHORIZATIONS = (
+    (r"(?i)\bauth(?:orization)?(?: number| no\.?| #)?\s*[:#-]\s*(VA\s?[0-9]{6,12})\b", 1),
+    (r"(?i)\breferral(?: number| no\.?| #)?\s*[:#-]\s*(VA\s?[0-9]{6,12})\b", 2),
+    (r"(?is)\bauthorization\b.{0,140}?\b(VA[0-9]{6,12})\b", 3),
+    (r"(?i)\bauth(?:orization)?(?: number| no\.?| #)?\s*[:#-]\s*([A-Z0-9][A-Z0-9-]*[0-9][A-Z0-9-]{3,})", 4),
+    (r"\b(VA[0-9]{10})\b", 5),
+)
+
+
+def authorizations(pages: DataFrame) -> DataFrame:
+    """(packet_id, page_index, authorization, rank): the surest authorization number of every page that has one."""
+    found = [F.nullif(F.regexp_replace(F.upper(F.regexp_extract("text", p, 1)), " ", ""), F.lit("")) for p, _ in AUTHORIZATIONS]
+    best = F.coalesce(*[F.when(c.isNotNull(), F.struct(c.alias("authorization"), F.lit(rank).alias("rank"))) for c, (_, rank) in zip(found, AUTHORIZATIONS)])
+    return pages.where("text IS NOT NULL").select("packet_id", "page_index", best.alias("x")).where("x IS NOT NULL").select("packet_id", "page_index", "x.*")
 
 
 def signature_present(text: Column) -> Column:
@@ -88,9 +108,3 @@ def page_measures(pages: DataFrame) -> DataFrame:
 def pivoted(chosen: DataFrame) -> DataFrame:
     """One row per packet with a column per field."""
     return chosen.groupBy("packet_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in LABELS])
-
-
-def filled_share(wide: DataFrame) -> DataFrame:
-    """Share of the fields that every packet has."""
-    have = reduce(lambda a, b: a + b, [F.col(f).isNotNull().cast("int") for f in LABELS])
-    return wide.select("packet_id", have.alias("fields"), F.round(have / len(LABELS), 4).alias("share"))

@@ -425,17 +425,63 @@ def forecast_ece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.agg(F.round(F.sum(F.col("n") * F.abs(F.col("average_predicted") - F.col("average_actual"))) / F.sum("n"), 4).alias("ece"))
 
 
-def outcome_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibrated probability of approval of every run, by the fitted model."""
+def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict]:
+    """Features of all runs, the labelled ones with label and time, and the fitted model."""
     features = materialize(run_features(spark, sf_dir), "features")
     labels = outcome_labels(spark, sf_dir).select("id", "label")
     at = runs(spark, sf_dir, "analyzed_at").select("id", F.col("analyzed_at").alias("at"))
-    return om.score(features, om.fit_labelled(features.join(labels, "id").join(at, "id")))
+    labelled = materialize(features.join(labels, "id").join(at, "id"), "labelled")
+    return features, labelled, om.fit_labelled(labelled)
+
+
+def outcome_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated probability of approval of every run, by the fitted model."""
+    features, _, model = _model(spark, sf_dir)
+    return om.score(features, model)
+
+
+def model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the fitted model judges all labelled runs, those it was fitted on included, and its reliability.
+
+    Reliability weighs sample size (full at 80), AUC, calibration error and Brier score 40 : 25 : 20 : 15.
+    """
+    _, labelled, model = _model(spark, sf_dir)
+    judged = om.score(labelled, model).join(labelled.select("id", "label"), "id").select("label", F.col("calibrated_probability").alias("p")).where("p IS NOT NULL")
+    return outcomes.reliability(materialize(judged, "judged-by-model"))
+
+
+def similar_cases(spark: SparkSession, sf_dir: str, recent: int = 80, top: int = 5) -> DataFrame:
+    """The five runs most like every run whose id is divisible by 50, among the 80 newest of other cases.
+
+    The newest 80 of other cases lie, for every case but one, among the newest 160: only one case can hold
+    more than 80 of those. For that one the newest 80 without it are added. So the pool has 240 rows at most,
+    whatever the size of the store, and is broadcast.
+    """
+    columns = ["id", "case_key", "analyzed_at", "provider_key", "diagnosis_text", "forms_text", "score", "status"]
+    r = materialize(runs(spark, sf_dir, *columns).withColumn("case_key", F.coalesce("case_key", F.lit("unknown_case"))), "similar-runs")
+    newest = [F.desc("analyzed_at"), F.desc("id")]
+    first = materialize(r.orderBy(*newest).limit(2 * recent), "similar-newest")
+    crowd = first.groupBy("case_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > recent).select("case_key")
+    without = r.join(F.broadcast(crowd), "case_key", "left_anti").orderBy(*newest).limit(recent)
+    pool = (first.unionByName(without.select(first.columns)) if crowd.take(1) else first).dropDuplicates(["id"])
+    pool = pool.select(*[F.col(c).alias(f"other_{c}") for c in columns])
+    rank = Window.partitionBy("id").orderBy(F.desc("other_analyzed_at"), F.desc("other_id"))
+    pairs = r.where("id % 50 = 0").join(F.broadcast(pool), F.col("case_key") != F.col("other_case_key")).withColumn("n", F.row_number().over(rank)).where(F.col("n") <= recent)
+    ours, theirs = fx.plain(F.col("diagnosis_text")), fx.plain(F.col("other_diagnosis_text"))
+    forms, others = F.array_distinct(fx.piped(F.col("forms_text"))), F.array_distinct(fx.piped(F.col("other_forms_text")))
+    alike = (
+        F.when(F.col("provider_key") == F.col("other_provider_key"), 0.4).otherwise(0.0)
+        + F.when((ours != "") & (theirs != "") & (F.contains(theirs, ours) | F.contains(ours, theirs)), 0.35).otherwise(0.0)
+        + F.when((F.size(forms) > 0) & (F.size(others) > 0), 0.25 * F.size(F.array_intersect(forms, others)) / F.size(F.array_union(forms, others))).otherwise(0.0)
+    )
+    scored = pairs.withColumn("similarity", F.round(alike + 1e-9, 2)).where("similarity > 0")
+    best = Window.partitionBy("id").orderBy(F.desc("similarity"), F.desc("other_score"), F.desc("other_id"))
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("id", "rank", "other_id", "similarity", F.col("other_status").alias("status"))
 
 
 QUERIES = {f.__name__: f for f in (
     history_totals, case_history, provider_history, derived_case_keys, derived_provider_keys, internal_benchmark, provider_ranking, provider_network, workflow_performance,
     score_percentiles, denial_rate, outcome_mix, routing_variance, case_status_counts, failure_sources, outcome_drivers, recurring_issues, provider_memory, provider_deficiencies, approved_profile,
     complexity_benchmark, hidden_trend, outcome_labels, turnaround_observations, turnaround_survival, turnaround_median, case_timeline, risk_drift, correction_memory, score_ewma, score_cusum,
-    cases_with_outcome, cases_without_outcome, form_overlap, new_identifiers, run_features, forecast_scores, forecast_auc, forecast_calibration, forecast_ece, outcome_scores,
+    cases_with_outcome, cases_without_outcome, form_overlap, new_identifiers, run_features, forecast_scores, forecast_auc, forecast_calibration, forecast_ece, outcome_scores, model_evaluation, similar_cases,
 )}

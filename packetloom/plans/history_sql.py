@@ -139,3 +139,9 @@ _BINS = f"""WITH {_R}, {_E}, {_LABELS}, {_JUDGED}, b AS (SELECT least(floor(p *
     c AS (SELECT bin, n, round(predicted + 1e-9, 3) AS average_predicted, round(successes / n, 3) AS average_actual, round({_BLOW}, 3) AS interval_lower, round({_BHIGH}, 3) AS interval_upper FROM b)"""
 ORACLES["forecast_calibration"] = _BINS + " SELECT * FROM c"
 ORACLES["forecast_ece"] = _BINS + " SELECT round(sum(n * abs(average_predicted - average_actual)) / sum(n), 4) AS ece FROM c"
+ORACLES["similar_cases"] = f"""WITH {_R}, a AS (SELECT id, coalesce(case_key, 'unknown_case') AS case_key, analyzed_at, provider_key, score, status, {_PLAIN.format('diagnosis_text')} AS d, list_distinct({_PIPED.format('forms_text')}) AS f FROM r),
+    n AS (SELECT q.id, o.id AS other_id, o.status, o.score, q.provider_key AS k, o.provider_key AS ok, q.d, o.d AS od, q.f, o.f AS of FROM a AS q JOIN a AS o ON q.case_key <> o.case_key
+          WHERE q.id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY o.analyzed_at DESC NULLS LAST, o.id DESC) <= 80),
+    s AS (SELECT *, round(CASE WHEN k = ok THEN 0.4 ELSE 0.0 END + CASE WHEN d <> '' AND od <> '' AND (contains(od, d) OR contains(d, od)) THEN 0.35 ELSE 0.0 END
+          + CASE WHEN len(f) > 0 AND len(of) > 0 THEN 0.25 * len(list_intersect(f, of)) / len(list_distinct(list_concat(f, of))) ELSE 0.0 END + 1e-9, 2) AS similarity FROM n)
+    SELECT id, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, score DESC, other_id DESC) AS rank, other_id, similarity, status FROM s WHERE similarity > 0 QUALIFY rank <= 5"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packetloom.plans import history, history_sql, pages, problems
+from packetloom.plans import history, history_sql, pages, pages_sql, problems
 from packetloom.streaming import history as streams
 
 QUERIES = {
@@ -13,4 +13,4 @@ QUERIES = {
     **pages.QUERIES,
     **streams.QUERIES,
 }
-ORACLES: dict[str, str] = history_sql.ORACLES | pages.ORACLES | streams.ORACLES
+ORACLES: dict[str, str] = history_sql.ORACLES | pages_sql.ORACLES | streams.ORACLES
