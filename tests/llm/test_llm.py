@@ -259,6 +259,30 @@ def test_scan_repair(spark):
     assert text[0] == "The imaging report shows long-standing pain compared with the earlier visit" and text[1] is None
 
 
+def test_weights_of_edits():
+    cost = scan_repair.misread_cost
+    assert cost("report", "rep0rt") < cost("report", "rcport") < cost("report", "repart") and cost("report", "rxpqrt") is None
+    assert cost("clinical", "c1inica1") == 2 * scan_repair.SIGN and cost("visits", "visit") == scan_repair.OTHER
+
+
+def test_long_words_are_repaired(spark):
+    word = "pneumonoultramicroscopicsilicovolcanoconiosis" + "electroencephalographically"
+    seen = [word.replace("m", "rn", 1), word.replace("lly", "1ly"), word[:2] + "c" + word[3:-1] + word[-1], word.replace("o", "0", 1)]
+    df = spark.createDataFrame([("x", [f"it says {word} here"] * 40 + [f"it says {w} here" for w in seen])], "packet_id string, pages array<string>")
+    got = {r.page_index - 40: r.fixed for r in scan_repair.repairs(df).where("kind = 'misread'").collect()}
+    assert got == {i: word for i in range(len(seen))}
+
+
+def test_running_headers_by_repetition(spark):
+    """Headers and titles of none of the tables: the header stands alone or within furniture, the title also below it."""
+    title, body = "DISCHARGE PLAN", "The ward sent the plan to the family and asked for an answer within a week"
+    pages = [(f"a{i}", [f"Orchard Street Hospice | Page 1 of 2\n{title}\n{body} {i}", f"Orchard Street Hospice\n{title}\n{body} {i}"]) for i in range(12)]
+    pages += [(f"b{i}", [f"{title}\n{body}", f"Orchard Sfreet H0spice\n{title}\n{body}"]) for i in range(12)] + [("e", [None, ""]), ("z", None)]
+    df = spark.createDataFrame(pages, "packet_id string, pages array<string>")
+    got = {(r.packet_id[0], r.page_index, r.line_no) for r in scan_repair.repairs(df).where("kind = 'running'").collect()}
+    assert got == {("a", 0, 1), ("a", 1, 1), ("b", 1, 1)}
+
+
 def test_broken_words_with_a_frequent_misread(spark):
     pages = [(f"g{i}", ["The imaging report shows the request"]) for i in range(30)] + [(f"m{i}", ["The irnaging report shows the request"]) for i in range(5)]
     df = spark.createDataFrame([*pages, ("n", ["The irnag-\ning report shows the request"])], "packet_id string, pages array<string>")
