@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators.prefix import running_sums
+from packetloom.session import materialize
 
 #: Cases of more rows than this are matched through time buckets.
 HOT_CASE = 1_000_000
@@ -26,11 +27,11 @@ def next_event(runs: DataFrame, events: DataFrame, hot: int = HOT_CASE) -> DataF
     usable = runs.where("case_key IS NOT NULL AND at IS NOT NULL").select("case_key", "id", "at")
     known = events.where("case_key IS NOT NULL AND at IS NOT NULL").select("case_key", "id", "at", "status")
     sizes = usable.select("case_key").unionAll(known.select("case_key")).groupBy("case_key").agg(F.count(F.lit(1)).alias("n"))
-    large = [r["case_key"] for r in sizes.where(F.col("n") > hot).select("case_key").collect()]  # at most rows / hot
-    is_large = F.col("case_key").isin(large) if large else F.lit(False)
-    found = _by_window(usable.where(~is_large), known.where(~is_large))
-    if large:
-        found = found.unionByName(_by_bucket(usable.where(is_large), known.where(is_large)))
+    large = materialize(sizes.where(F.col("n") > hot).select("case_key"), "hot-cases")
+    if not large.take(1):
+        return runs.join(_by_window(usable, known), "id", "left")
+    by = lambda df, how: df.join(large, "case_key", how)
+    found = _by_window(by(usable, "left_anti"), by(known, "left_anti")).unionByName(_by_bucket(by(usable, "left_semi"), by(known, "left_semi")))
     return runs.join(found, "id", "left")
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import fields as fx
 from packetloom.functions import stats as st
+from packetloom.operators import ordered, outcomes
 from packetloom.operators import outcome_model as om
-from packetloom.operators import outcomes
 from packetloom.operators.prefix import running_sums
 from packetloom.session import materialize, table
 
@@ -282,30 +282,35 @@ def case_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Ordered functions
 
 
-def _by_case() -> Window:
-    return Window.partitionBy("case_key").orderBy("analyzed_at", "id")
+def _in_part() -> Window:
+    """Over the rows of a case within one range of `ordered.with_previous`."""
+    return Window.partitionBy("_part", "case_key").orderBy("analyzed_at", "id")
+
+
+def _with_previous(df: DataFrame, k: int, label: str) -> DataFrame:
+    return ordered.with_previous(df.where("case_key IS NOT NULL"), "case_key", ["analyzed_at", "id"], k, label)
 
 
 def risk_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run's score and denial risk against the three runs before it in its case."""
     rank = F.when(F.lower("denial_risk") == "critical", 4).when(F.lower("denial_risk") == "high", 3).when(F.lower("denial_risk") == "medium", 2).when(F.lower("denial_risk") == "low", 1).otherwise(0)
-    r = runs(spark, sf_dir, "case_key", "analyzed_at", "score", "denial_risk").where("case_key IS NOT NULL").withColumn("risk", rank)
-    w = _by_case()
-    t = r.withColumn("previous_average", F.round(F.avg("score").over(w.rowsBetween(-3, -1)), 1)).withColumn("previous_risk", F.lag("risk").over(w))
+    r = runs(spark, sf_dir, "case_key", "analyzed_at", "score", "denial_risk").withColumn("risk", rank)
+    w = _in_part()
+    t = _with_previous(r, 3, "drift").withColumn("previous_average", F.round(F.avg("score").over(w.rowsBetween(-3, -1)), 1)).withColumn("previous_risk", F.lag("risk").over(w))
     direction = (
         F.when(F.col("previous_average").isNull(), "new_case")
         .when((F.col("score") >= F.col("previous_average") + 8) & (F.col("risk") <= F.col("previous_risk")), "improving")
         .when((F.col("score") <= F.col("previous_average") - 8) | (F.col("risk") > F.col("previous_risk")), "worsening")
         .otherwise("stable")
     )
-    return t.select("id", "score", "previous_average", direction.alias("direction"))
+    return t.where("NOT _context").select("id", "score", "previous_average", direction.alias("direction"))
 
 
 def correction_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues resolved and new since the run before of the same case."""
-    r = _issues(spark, sf_dir, "case_key", "analyzed_at").where("case_key IS NOT NULL")
-    before = F.coalesce(F.lag("issues").over(_by_case()), F.array().cast("array<string>"))
-    t = r.withColumn("before", before)
+    r = _with_previous(_issues(spark, sf_dir, "case_key", "analyzed_at").select("id", "case_key", "analyzed_at", "issues"), 1, "corrections")
+    before = F.coalesce(F.lag("issues").over(_in_part()), F.array().cast("array<string>"))
+    t = r.withColumn("before", before).where("NOT _context")
     joined = lambda a, b: F.array_join(F.array_sort(F.array_except(a, b)), "; ")
     return t.select("id", joined("before", "issues").alias("resolved_issues"), joined("issues", "before").alias("new_issues"))
 
@@ -313,23 +318,25 @@ def correction_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_ewma(spark: SparkSession, sf_dir: str, alpha: float = 0.25) -> DataFrame:
     """Exponentially weighted mean of the scores of every case up to each run.
 
-    In closed form over two running sums per case, with powers that stay in range: runs are cut
-    into stretches of 64, so no case is folded in one row.
+    In closed form over running sums of stretches of 64 runs, with powers that stay in range. Each range of
+    runs brings the 768 before it along: what lies further back weighs less than double precision shows.
     """
-    w = _by_case()
-    r = runs(spark, sf_dir, "case_key", "analyzed_at", "score").where("case_key IS NOT NULL").withColumn("n", F.row_number().over(w) - 1)
-    keep = 1.0 - alpha
+    reach, keep = 768, 1.0 - alpha
+    r = _with_previous(runs(spark, sf_dir, "case_key", "analyzed_at", "score"), reach, "ewma")
+    whole = Window.partitionBy("_part", "case_key")
+    r = r.withColumn("n", F.row_number().over(_in_part()) - 1).withColumn("brought", F.sum(F.col("_context").cast("int")).over(whole))
     stretch, inside = F.floor(F.col("n") / 64), F.col("n") % 64
     part = r.withColumn("stretch", stretch).withColumn("inside", inside)
-    own = Window.partitionBy("case_key", "stretch").orderBy("inside").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("_part", "case_key", "stretch").orderBy("inside").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # the first run of a case stands with full weight
-    weight = F.when(F.col("n") == 0, 1.0).otherwise(alpha)
+    weight = F.when((F.col("n") == 0) & (F.col("brought") < reach), 1.0).otherwise(alpha)
     local = part.withColumn("local", F.sum(weight * F.col("score") / F.pow(F.lit(keep), F.col("inside"))).over(own) * F.pow(F.lit(keep), F.col("inside")))
-    ends = local.where("inside = 63").select("case_key", (F.col("stretch") + 1).alias("stretch"), F.col("local").alias("end"))
+    ends = local.where("inside = 63").select("_part", "case_key", (F.col("stretch") + 1).alias("stretch"), F.col("local").alias("end"))
     full = keep**64
-    chain = Window.partitionBy("case_key").orderBy("stretch").rowsBetween(-12, Window.currentRow)  # keep^768 is below double precision
-    carried = ends.withColumn("list", F.collect_list(F.struct("stretch", "end")).over(chain)).withColumn("carry", F.aggregate("list", F.lit(0.0), lambda acc, x: acc * full + x["end"])).select("case_key", "stretch", "carry")
-    return local.join(carried, ["case_key", "stretch"], "left").select("id", F.round(F.col("local") + F.coalesce("carry", F.lit(0.0)) * F.pow(F.lit(keep), F.col("inside") + 1) + 1e-9, 3).alias("ewma"))
+    chain = Window.partitionBy("_part", "case_key").orderBy("stretch").rowsBetween(-12, Window.currentRow)  # keep^768 is below double precision
+    carried = ends.withColumn("list", F.collect_list(F.struct("stretch", "end")).over(chain)).withColumn("carry", F.aggregate("list", F.lit(0.0), lambda acc, x: acc * full + x["end"])).select("_part", "case_key", "stretch", "carry")
+    mean = F.col("local") + F.coalesce("carry", F.lit(0.0)) * F.pow(F.lit(keep), F.col("inside") + 1)
+    return local.join(carried, ["_part", "case_key", "stretch"], "left").where("NOT _context").select("id", F.round(mean + 1e-9, 3).alias("ewma"))
 
 
 def score_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,11 +345,12 @@ def score_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
     The one-sided sum is the running sum of the shifted values minus its running minimum (not above 0).
     """
     r = runs(spark, sf_dir, "case_key", "analyzed_at", "score").where("case_key IS NOT NULL")
-    whole = Window.partitionBy("case_key")
-    w = _by_case().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = r.withColumn("target", F.avg("score").over(whole)).withColumn("sd", F.stddev_pop("score").over(whole)).withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
-    t = t.withColumn("up", F.sum(F.col("score") - F.col("target") - 0.25 * F.col("sd")).over(w)).withColumn("down", F.sum(F.col("score") - F.col("target") + 0.25 * F.col("sd")).over(w))
-    t = t.withColumn("positive", F.col("up") - F.least(F.lit(0.0), F.min("up").over(w))).withColumn("negative", F.col("down") - F.greatest(F.lit(0.0), F.max("down").over(w)))
+    cut = ordered.parted(r, "case_key", ["analyzed_at", "id"], "cusum")
+    level = cut.groupBy("case_key").agg(F.avg("score").alias("target"), F.stddev_pop("score").alias("sd")).withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
+    cut = cut.join(level, "case_key")
+    shift = F.col("score") - F.col("target")
+    t = ordered.running(cut, "case_key", ["analyzed_at", "id"], {"up": shift - 0.25 * F.col("sd"), "down": shift + 0.25 * F.col("sd")})
+    t = t.withColumn("positive", F.col("up") - F.least(F.lit(0.0), "up_least")).withColumn("negative", F.col("down") - F.greatest(F.lit(0.0), "down_most"))
     limit = 1.5 * F.col("sd")
     signal = F.when(F.col("positive") >= limit, "upward_shift").when(-F.col("negative") >= limit, "downward_shift").otherwise("stable")
     return t.select("id", F.round("positive", 3).alias("positive"), F.round("negative", 3).alias("negative"), signal.alias("signal"))
@@ -363,8 +371,8 @@ def cases_without_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def form_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard similarity of the forms of every run with those of the run before in its case."""
-    r = runs(spark, sf_dir, "case_key", "analyzed_at", "forms_text").where("case_key IS NOT NULL").withColumn("forms", F.array_distinct(fx.piped(F.col("forms_text"))))
-    t = r.withColumn("before", F.lag("forms").over(_by_case())).where("before IS NOT NULL")
+    r = _with_previous(runs(spark, sf_dir, "case_key", "analyzed_at", "forms_text").withColumn("forms", F.array_distinct(fx.piped(F.col("forms_text")))), 1, "overlap")
+    t = r.withColumn("before", F.lag("forms").over(_in_part())).where("before IS NOT NULL AND NOT _context")
     union = F.size(F.array_union("forms", "before"))
     return t.select("id", F.when(union > 0, F.round(F.size(F.array_intersect("forms", "before")) / union, 4)).otherwise(0.0).alias("overlap"))
 

@@ -44,13 +44,23 @@ def shared_folder(spark: SparkSession) -> str:
     return local
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_folder(spark), f"packetloom-{spark.sparkContext.applicationId}")
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; results that were not written yet can no longer be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Later reads prune columns, do not recompute, and survive the loss of any executor.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(_own_folder(spark), f"{label}-{uuid.uuid4().hex}")
     schema = df.schema
     df.write.mode("error").parquet(path)
     return spark.read.schema(schema).parquet(path)
