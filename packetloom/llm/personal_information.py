@@ -65,11 +65,12 @@ TITLED = re.compile(rf"\b(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof)\b\.?\s+(?P<name>(?:{_SHOR
 BEFORE = re.compile(rf"(?<![\w.])(?P<name>{_NAME})(?=\s+(?:signed\s+the\s+f|states\s+that|was\s+seen)|,\s+callback|\s+\(\s)")
 #: Words before and after a name that tell a person (fixed values of English use).
 _DOING = r"(?:called|calls|reports|reported|states|stated|says|said|told|tells|denies|denied|describes|described|signed|asked|asks|wrote|writes|presents|presented|lives|agreed|agrees|prefers|requested|requests|attended|arrived|returned|complains|complained|confirmed|explained|mentioned|notes|noted|was\s+(?:seen|examined|treated|called|told|asked)|by\s+(?:phone|fax|mail|email)|on\s+the\s+phone|left\s+a\s+message)"
-DOES = re.compile(rf"(?<![\w.])(?P<name>{_CAP}\s+(?:[A-Z]\.?\s+)?{_CAP})(?=\s+{_DOING}\b)")
+DOES = re.compile(rf"\s+{_DOING}\b")
 _TOLD = r"(?:(?:seen|signed|reviewed|examined|treated|dictated|prepared|completed|witnessed|referred)\s+by|(?:spoke|met|talked|discussed|visit|appointment|follow-up)\s+with|(?:call|letter|message|note|voicemail)\s+from|referred\s+to|addressed\s+to|attn:?|care\s+of)"
-TOLD = re.compile(rf"\b(?i:{_TOLD})\s+{_TITLE}(?P<name>{_CAP}\s+(?:[A-Z]\.?\s+)?{_CAP})(?![\w@])(?!\s+[A-Z][a-z])")
+TOLD = re.compile(rf"\b(?i:{_TOLD})\s+{_TITLE}$")
 #: Two capitalised words, or a surname, a comma and a given name: a name if the gazetteer knows it.
 PAIR = re.compile(rf"(?<![\w@.-])(?P<name>{_CAP},\s+(?![A-Z]{{2}}\b){_CAP}|{_CAP}\s+(?:[A-Z]\.?\s+)?{_CAP})(?!\s*:)(?![\w@])")
+_CAPITAL_AFTER = re.compile(r"\s+[A-Z][a-z]")
 _CAPITAL_BEFORE = re.compile(r"[A-Z][\w'’]*\s+$")
 _NO_PERSON = re.compile(r"\b(?:The|This|That|Patient|Name|Veteran|Member|Ordering|Referring|Provider|Signed|Date|Birth|Number|Authorization|Reference|Address|Notes|Clinical|Report|Request|Letter|Summary|Sheet|Form|Page|Street|Road|Box|Route|Dr|Mr|Mrs|Ms|Miss)\b", re.I)
 #: In one-line remarks names come in any case.
@@ -100,18 +101,18 @@ def mentions(text: str, remark: bool = False) -> list[tuple[int, int, str]]:
                 told = "per " in m[0].lower() or len(re.findall(r"\w+", m["name"])[0]) == 1
                 (found if told else maybe).append((m.start("name"), m.end("name"), "name" if told else "name?"))
     else:
-        for how in (CUED, BEFORE, TITLED, DOES, TOLD):
+        for how in (CUED, BEFORE, TITLED):
             for m in how.finditer(text):
-                if _FACILITY.search(m["name"]) or len(_NO_PERSON.findall(m["name"])) > 1 or sum(c.isdigit() for c in m["name"]) >= 3:
-                    continue
-                if how in (DOES, TOLD) and (_NO_PERSON.search(m["name"]) or _CAPITAL_BEFORE.search(text, max(0, m.start("name") - 30), m.start("name"))):
-                    continue
-                found.append((m.start("name"), m.end("name"), "name"))
+                if not _FACILITY.search(m["name"]) and len(_NO_PERSON.findall(m["name"])) < 2 and sum(c.isdigit() for c in m["name"]) < 3:
+                    found.append((m.start("name"), m.end("name"), "name"))
         at = 0
         while m := PAIR.search(text, at):
-            at = m.end() if not _NO_PERSON.search(m["name"]) and not _FACILITY.search(m["name"]) else m.start() + len(m["name"].split()[0])
-            if at == m.end() and not _FACILITY.match(text, at + 1):
-                maybe.append((m.start("name"), m.end("name"), "name?"))
+            s, at = m.span("name")
+            if _NO_PERSON.search(m["name"]) or _FACILITY.search(m["name"]) or sum(c.isdigit() for c in m["name"]) > 2:
+                at = s + len(m["name"].split()[0])
+            elif not _FACILITY.match(text, at + 1):
+                told = (DOES.match(text, at) and not _CAPITAL_BEFORE.search(text, max(0, s - 30), s)) or (TOLD.search(text, max(0, s - 40), s) and not _CAPITAL_AFTER.match(text, at))
+                (found if told else maybe).append((s, at, "name" if told else "name?"))
     kept: list[tuple[int, int, str]] = []
     order = {t: i for i, t in enumerate(TYPES)}
     for s, e, t in sorted(found, key=lambda x: (x[0], order[x[2]], -x[1])):
@@ -136,7 +137,7 @@ def gazetteer(names: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys = {name_key(n) for n in b["name"] if n and not _FACILITY.search(n)}
-            yield pd.DataFrame({"known": sorted(k for k in keys if k)})
+            yield pd.DataFrame({"known": sorted(k for k in keys if k)}, dtype=object)
 
     return names.select("name").mapInPandas(run, "known string").select(F.xxhash64("known").alias("known")).distinct()
 
@@ -325,7 +326,7 @@ def redact(rows: DataFrame, key: str, names: DataFrame | None = None) -> DataFra
                     spans = [(s, e, kind, name_key(t[s:e]) if kind == "name?" else None) for s, e, kind in spans]
                     spans = [x for x in spans if x[2] != "name?" or x[3]]
                     out.append((field, k, at, t, [{"s": s, "e": e, "kind": kind.rstrip("?"), "known": known, "parts": [{"part": p, "canon": c} for p, c in parts_of(kind.rstrip("?"), t[s:e])]} for s, e, kind, known in spans]))
-            yield pd.DataFrame(out, columns=["field", "row_key", "at", "text", "spans"])
+            yield pd.DataFrame(out, columns=["field", "row_key", "at", "text", "spans"], dtype=object)
 
     schema = "field string, row_key string, at int, text string, spans array<struct<s:int,e:int,kind:string,known:string,parts:array<struct<part:string,canon:string>>>>"
     texts = materialize(rows.select("field", "row_key", "texts").mapInPandas(split, schema), "redaction-texts").withColumn("id", F.xxhash64("field", "row_key", "at", "text"))
