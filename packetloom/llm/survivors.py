@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packetloom.session import materialize
+
 #: Writings that stand for a missing value (fixed values of the data).
 PLACEHOLDERS = ("", "-", "n/a", "na", "none", "null", "tbd", "unknown", "unk", "not stated", "not available", "pending", "?", "--", "nil", "nan", "xxx")
 HOT_GROUP = 50_000
@@ -73,18 +75,16 @@ def _undominated(df: DataFrame, keys: list[str], levels: int) -> DataFrame:
 
 def hot_keys(rows: DataFrame, hot: int) -> DataFrame:
     """Keys of more than `hot` rows; there are at most rows / hot of them."""
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key")
+    return materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"), "hot-groups")
 
 
 def skyline(rows: DataFrame, levels: int, hot: int = HOT_GROUP, salts: int = SALTS) -> DataFrame:
     """Undominated rows of `rows(key, record, recency, trust, complete, ...)`, group by group."""
-    large = hot_keys(rows, hot).collect()
-    if not large:
+    large = hot_keys(rows, hot)
+    if not large.take(1):
         return _undominated(rows, ["key"], levels)
-    names = [r["key"] for r in large]
-    large_df = rows.sparkSession.createDataFrame([(n,) for n in names], rows.select("key").schema)
-    cold = rows.join(F.broadcast(large_df), "key", "left_anti")
-    parts = rows.join(F.broadcast(large_df), "key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(salts)))
+    cold = rows.join(large, "key", "left_anti")
+    parts = rows.join(large, "key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(salts)))
     local = _undominated(parts.repartition("key", "salt"), ["key", "salt"], levels).drop("salt")
     return _undominated(cold.unionByName(local), ["key"], levels)
 
@@ -165,16 +165,15 @@ def survivor(df: DataFrame, key: str, record: str, recency: str, trust: str, fie
     base = measured(df, key, record, recency, trust, fields)
     values = df.where(F.col(key).isNotNull() & F.col(record).isNotNull()).select(F.col(record).alias("record"), F.col(key).alias("key"), *[F.when(is_real(F.col(f)), F.trim(f)).alias(f) for f in fields]).distinct()
     rows = base.join(values, ["key", "record"])
-    large = hot_keys(base, hot).collect()
-    if not large:
+    large = hot_keys(base, hot)
+    if not large.take(1):
         layered = numbered(rows, levels)
     else:
-        large_df = df.sparkSession.createDataFrame([(r["key"],) for r in large], base.select("key").schema)
-        cold = numbered(rows.join(F.broadcast(large_df), "key", "left_anti"), levels)
+        cold = numbered(rows.join(large, "key", "left_anti"), levels)
         # of a hot group only the distinct vectors pass through one task; its records stay spread
         vector = ["key", "recency", "trust", "complete"]
-        layers = numbered(base.join(F.broadcast(large_df), "key", "left_semi").select(*vector).distinct(), levels)
-        layered = cold.unionByName(rows.join(F.broadcast(large_df), "key", "left_semi").join(layers, vector))
+        layers = numbered(base.join(large, "key", "left_semi").select(*vector).distinct(), levels)
+        layered = cold.unionByName(rows.join(large, "key", "left_semi").join(layers, vector))
     policy = F.struct("layer", (-F.col("recency")).alias("r"), (-F.col("trust")).alias("t"), (-F.col("complete")).alias("c"), "record")
     return layered.groupBy("key").agg(
         F.min_by("record", policy).alias("record"),
