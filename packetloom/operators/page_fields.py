@@ -18,10 +18,16 @@ LABELS = {
     "va_icn": r"(?:va icn|icn|integrated control number)",
     "ordering_provider": r"(?:ordering provider|ordering physician|ordered by|requested by)",
     "referring_provider": r"(?:referring provider|referred by)",
-    "diagnosis": r"(?:diagnosis)",
+    "diagnosis": r"(?:diagnosis|assessment|clinical impression|impression)",
+    "provider": r"(?:rendering provider|treating provider|provider name|provider)",
+    "clinic_name": r"(?:clinic name|practice name|office name|submitting office)",
+    "npi": r"(?:npi)",
+    "reason_for_request": r"(?:reason for (?:request|referral|consultation)|chief complaint|requested service|requested procedure)",
     "signed_by": r"(?:signed by|electronically signed by)",
 }
 
+PEOPLE = ("ordering_provider", "referring_provider", "provider", "signed_by")
+
 
 def lines(pages: DataFrame) -> DataFrame:
     """(packet_id, page_index, line_no, line) of pages(packet_id, page_index, text)."""
@@ -29,8 +35,8 @@ def lines(pages: DataFrame) -> DataFrame:
 
 
 def _value(field: str, line: Column) -> Column:
-    raw = F.trim(F.regexp_extract(line, rf"(?i)(?:^|\s{{3,}})\s*{LABELS[field]}\s*(?::|\s-\s)\s*(.+?)\s*$", 1))
-    if field in ("ordering_provider", "referring_provider", "signed_by"):
+    raw = F.trim(F.regexp_extract(line, rf"(?i)(?:^|\s{{3,}})\s*(?:\d{{1,2}}\.\s+)?{LABELS[field]}\s*(?::|\s-\s)\s*(.+?)\s*$", 1))
+    if field in PEOPLE:
         raw = F.regexp_replace(F.regexp_replace(raw, r"(?i)^dr\.?\s+", ""), r"(?i),?\s+(?:md|do|np|pa-c|pa|dpt)\.?$", "")
     if field == "dob":
         raw = F.regexp_extract(raw, r"(\d{1,2}/\d{1,2}/\d{4})", 1)
@@ -66,7 +72,7 @@ def _comparable(field: Column, value: Column) -> Column:
     """Names in one order, identifiers without separators, all in lower case."""
     v = F.lower(value)
     name = F.array_join(F.array_sort(F.filter(F.split(F.regexp_replace(v, r"[^a-z]+", " "), " "), lambda x: F.length(x) > 1)), " ")
-    return F.when(field.isin("name", "ordering_provider", "referring_provider", "signed_by"), name).otherwise(F.regexp_replace(v, r"[^a-z0-9]", ""))
+    return F.when(field.isin("name", *PEOPLE), name).otherwise(F.regexp_replace(v, r"[^a-z0-9]", ""))
 
 
 def redundancy(observed: DataFrame) -> DataFrame:

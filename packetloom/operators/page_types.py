@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators.page_metadata import type_by_zones
+from packetloom.session import materialize
 
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
 
@@ -266,7 +267,8 @@ def _with_anchors(confidence: Column, anchors: Column) -> Column:
 def classify(pages: DataFrame) -> DataFrame:
     """pages(packet_id, page_index, text, and zones if there are any) with doc_type, confidence, rule and the normalised text.
 
-    `zones` are lower-case labels. The cascade itself stays in the JVM.
+    `zones` are lower-case labels. The cascade itself stays in the JVM. The result is written, so that no
+    later filter drags the whole cascade along.
     """
     zones = F.col("zones") if "zones" in pages.columns else F.array().cast("array<string>")
     text = pages.select("packet_id", "page_index", F.coalesce(page_text(F.col("text")), F.lit("")).alias("normal"), zones.alias("zones"))
@@ -318,13 +320,14 @@ def classify(pages: DataFrame) -> DataFrame:
         .when(F.col("rule") == "score", _with_hints(_with_anchors(F.least(F.lit(0.95), 0.58 + 0.04 * (F.col("by_score.score") - F.coalesce(least, F.lit(7)))), anchors), hints))
         .otherwise(F.when(size == 0, 0.1).when(size < 120, 0.2).otherwise(0.35))
     )
-    return (
+    typed = (
         chosen.withColumn("rule", rule)
         .withColumn("doc_type", doc)
         .withColumn("confidence", F.round(F.least(F.lit(0.99), F.when(F.col("doc_type") == "unknown", F.least(F.lit(0.55), confidence + F.when(F.size("zones") >= 4, 0.08).otherwise(0.0))).otherwise(_with_layout(confidence, F.col("doc_type")))), 2))
         .transform(supplemented)
         .select("packet_id", "page_index", "normal", F.size("zones").alias("zones"), "doc_type", "confidence", "rule")
     )
+    return materialize(typed, "classified-pages")
 
 
 def supplemented(typed: DataFrame) -> DataFrame:

@@ -201,6 +201,10 @@ def unfilled_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.where(page_rules.unfilled(F.col("doc_type"), F.col("text"))).select("packet_id", "page_index", "doc_type")
 
 
+def layout_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_rules.layout_marks(pages(spark, sf_dir))
+
+
 def plain_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_rules.plain_fields(pages(spark, sf_dir))
 
@@ -219,6 +223,6 @@ QUERIES = {
     "page_types": page_types_of,
     **{f.__name__: f for f in (
         document_spans, detected_documents, exact_duplicate_pages, near_duplicate_pages, page_measures, sparse_packets, retry_reasons, field_observations, selected_fields, packet_fields, field_redundancy, page_codes, packet_codes, listed_codes, signed_pages, masked_notes,
-        page_summaries, intake_diagnostics, layout_summary, reading_candidates, source_lineage, type_confidence, page_order, inferred_findings, page_authorizations, section_roles, page_roles, concept_values, cut_diagnoses, suspect_values, form_mentions, packet_kinds, unfilled_forms, plain_fields,
+        page_summaries, intake_diagnostics, layout_summary, reading_candidates, source_lineage, type_confidence, page_order, inferred_findings, page_authorizations, section_roles, page_roles, concept_values, cut_diagnoses, suspect_values, form_mentions, packet_kinds, unfilled_forms, plain_fields, layout_marks,
     )},
 }

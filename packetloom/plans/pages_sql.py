@@ -47,8 +47,8 @@ _STOP = "list_min(list_filter([" + ", ".join(f"CASE WHEN instr(substr(lower(v),
 
 
 def _labelled(field: str, label: str) -> str:
-    raw = f"trim(regexp_extract(line, {_quoted(rf'(?i)(?:^|' + chr(92) + 's{3,})' + chr(92) + 's*' + label + chr(92) + 's*(?::|' + chr(92) + 's-' + chr(92) + 's)' + chr(92) + 's*(.+?)' + chr(92) + 's*$')}, 1))"
-    if field in ("ordering_provider", "referring_provider", "signed_by"):
+    raw = f"trim(regexp_extract(line, {_quoted(rf'(?i)(?:^|' + chr(92) + 's{3,})' + chr(92) + 's*(?:' + chr(92) + 'd{1,2}' + chr(92) + '.' + chr(92) + 's+)?' + label + chr(92) + 's*(?::|' + chr(92) + 's-' + chr(92) + 's)' + chr(92) + 's*(.+?)' + chr(92) + 's*$')}, 1))"
+    if field in page_fields.PEOPLE:
         raw = rf"regexp_replace(regexp_replace({raw}, '(?i)^dr\.?\s+', ''), '(?i),?\s+(?:md|do|np|pa-c|pa|dpt)\.?$', '')"
     if field == "dob":
         raw = rf"regexp_extract({raw}, '(\d{{1,2}}/\d{{1,2}}/\d{{4}})', 1)"
@@ -64,7 +64,7 @@ _OBSERVED = f"""n AS (SELECT packet_id, page_index, text, {_ROLE} AS role, unnes
         WHEN x.field = 'diagnosis' AND role IN ('diagnostic_basis', 'clinical_support', 'justification') THEN 0.97 ELSE 0.95 END, 2) AS confidence, instr(text, x.value)::INT AS "at", text
         FROM x WHERE x.value <> ''),
     s AS (SELECT packet_id, field, value, page_index, confidence FROM o QUALIFY row_number() OVER (PARTITION BY packet_id, field ORDER BY confidence DESC, page_index DESC, line_no DESC) = 1)"""
-_SAME = r"""CASE WHEN field IN ('name', 'ordering_provider', 'referring_provider', 'signed_by')
+_SAME = r"""CASE WHEN field IN ('name', 'ordering_provider', 'referring_provider', 'provider', 'signed_by')
     THEN array_to_string(list_sort(list_filter(string_split(regexp_replace(lower(value), '[^a-z]+', ' ', 'g'), ' '), lambda x: length(x) > 1)), ' ') ELSE regexp_replace(lower(value), '[^a-z0-9]', '', 'g') END"""
 
 _T = r"trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))"
@@ -94,6 +94,8 @@ ORACLES = {
     "selected_fields": f"WITH {_PAGES}, {_OBSERVED} SELECT * FROM s",
     "packet_fields": f"WITH {_PAGES}, {_OBSERVED} SELECT packet_id, {', '.join(f'max(value) FILTER (field = {_quoted(f)}) AS {f}' for f in page_fields.LABELS)} FROM s GROUP BY 1",
     "field_redundancy": f"WITH {_PAGES}, {_OBSERVED} SELECT packet_id, field, count(*) AS captured, count(DISTINCT {_SAME}) AS distinct_values, count(DISTINCT {_SAME}) > 1 AS conflict FROM o GROUP BY 1, 2",
+    "layout_marks": f"""WITH {_PAGES} SELECT packet_id, page_index, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '\\||\\t|\\s{{3,}}')))::INT AS table_lines,
+        {' + '.join(f"contains(text, {_quoted(m)})::INT" for m in page_rules.BOXES)} AS box_kinds, regexp_matches(lower(text), 'signature|signed') AS signed FROM p WHERE text IS NOT NULL""",
     "form_mentions": f"WITH {_PAGES}, t AS (SELECT packet_id, page_index, {_T} AS t FROM p) SELECT packet_id, page_index, unnest({_FORMS}) AS form FROM t",
     "packet_kinds": f"WITH t AS (SELECT packet_id, lower(coalesce(array_to_string(pages, chr(10)), '')) AS t FROM packet) SELECT packet_id, {_KIND} AS kind FROM t",
 }

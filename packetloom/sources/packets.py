@@ -52,6 +52,11 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return named.mapInPandas(read, "file_name string, source_type string, pages array<string>, error string")
 
 
+def read_code_list(spark: SparkSession, path: str) -> DataFrame:
+    """(code): the distinct codes of the first column of a CSV file without header, in upper case."""
+    return spark.read.csv(path).select(F.upper(F.trim("_c0")).alias("code")).where("code <> ''").distinct()
+
+
 def append(df: DataFrame, path: str) -> None:
     """Append runs or events to their store; additional columns are merged on reading."""
     df.write.mode("append").parquet(path)

@@ -234,3 +234,37 @@ def test_reliability(spark):
     judged = spark.createDataFrame([(1, 0.9), (1, 0.8), (0, 0.1), (0, 0.3)], "label int, p double")
     r = outcomes.reliability(judged).first()
     assert (r.sample_size, r.brier, r.auc, r.ece) == (4, 0.0375, 1.0, 0.175) and r.reliability == round(0.4 * 4 / 80 + 0.25 + 0.2 * (1 - 0.175 / 0.3) + 0.15 * (1 - 0.0375 / 0.35), 2)
+
+
+# packets of known kind, with invented names
+
+
+CASES = {
+    "rotated_rfs": (["VA Form 10-10172\n4. Authorization Number: VA0012345678\nPatient Name: Max Poe\nDate of Birth: 04/03/1992\nReferring Provider: Ann Roe\nOrdering Provider: Will Doe\nICN: 1012345678V123456\nRequested Service: MRI lumbar spine\nReason for Request: low back pain and radiculopathy\nDate of Service: 01/01/2025 to 03/19/2026"], ["rfs"], ["authorization_number", "name", "dob", "va_icn", "ordering_provider", "referring_provider"]),
+    "noisy_clinical": (["Clinical Notes\nHistory of Present Illness\nPatient Name: Max Poe\nDOB: 04/03/1992\nProvider: Will Doe\nAssessment: lumbar radiculopathy and low back pain\nImpression: low back pain\nReason for Request: MRI lumbar spine\nICD-10: M54.16, M54.50\nSigned by: Will Doe"], ["clinical_notes"], ["name", "dob", "provider", "diagnosis", "reason_for_request", "icd_codes"]),
+    "split_packet": (["Consultation and Treatment Request\nPatient Name: Max Poe\nDOB: 04/03/1992\nOrdering Provider: Will Doe\nReferring Provider: Ann Roe\nReason for Request: bilateral hip pain and low back pain\nRequested Procedure: MRI", "Letter of Medical Necessity\nPatient Name: Max Poe\nDOB: 04/03/1992\nDiagnosis: lumbar radiculopathy\nReason for Request: low back pain\nPatient failed physical therapy and ibuprofen\nSigned by: Will Doe"], ["consult_request", "lomn"], ["name", "dob", "ordering_provider", "referring_provider", "diagnosis", "reason_for_request"]),
+    "synthetic_packet": (["Submission Cover Sheet\nPatient Name: Max Poe\nDOB: 04/03/1992\nOrdering Provider: Will Doe\nClinic Name: Elm Row Pain Management\nNPI: 1234567890", "Clinical Notes\nPatient Name: Max Poe\nDOB: 04/03/1992\nAssessment: lumbar radiculopathy\nICD-10: M54.16, M54.50\nSigned by: Will Doe"], ["cover_sheet", "clinical_notes"], ["name", "dob", "ordering_provider", "clinic_name", "npi", "diagnosis"]),
+}
+
+
+def test_benchmark_cases(spark):
+    df = spark.createDataFrame([(c, i, t) for c, (texts, _, _) in CASES.items() for i, t in enumerate(texts)], PAGES)
+    documents = {r.packet_id: r.d for r in page_types.classify(df).where("doc_type <> 'unknown'").groupBy("packet_id").agg(F.collect_set("doc_type").alias("d")).collect()}
+    fields = {r.packet_id: r.f for r in page_fields.observations(df).groupBy("packet_id").agg(F.collect_set("field").alias("f")).collect()}
+    for r in df.select("packet_id", extraction.page_codes(F.col("text")).alias("codes")).collect():
+        fields[r.packet_id] += ["icd_codes"] if r.codes else []
+    rows = [(c, want, documents.get(c, []), f, fields.get(c, []), 78.0) for c, (_, want, f) in CASES.items()]
+    kinds = "case_id string, expected_documents array<string>, documents array<string>, expected_fields array<string>, fields array<string>, read double"
+    scores = {r.case_id: r for r in page_rules.benchmark_scores(spark.createDataFrame([*rows, ("none", [], [], [], [], None)], kinds)).collect()}
+    assert all(scores[c].document_score == 1.0 and scores[c].field_score == 1.0 and scores[c].score == 1.0 for c in CASES), (documents, fields)
+    assert scores["none"].score == 0.0
+
+
+def test_broken_labels_and_marks(spark):
+    df = pages(spark, "Authorization\n Number\nPatient  Name\n\nordered\r\nx", "a | b\nc    d\n[ ] yes [x] no\nSigned", None, "")
+    got = [r.j for r in df.orderBy("page_index").select(page_rules.joined_labels(F.col("text")).alias("j")).collect()]
+    assert got == ["Authorization Number\nPatient Name\nordered\nx", "a | b\nc d\n[ ] yes [x] no\nSigned", None, ""]
+    marks = {r.page_index: (r.table_lines, r.box_kinds, r.signed) for r in page_rules.layout_marks(df).collect()}
+    assert marks == {0: (0, 0, False), 1: (2, 2, True), 3: (0, 0, False)}
+    npi = spark.createDataFrame([("1234567893",), ("1234567890",), ("12345",), (None,)], "n string")
+    assert [r.v for r in npi.select(fx.npi_valid(F.col("n")).alias("v")).collect()] == [True, False, False, None]

@@ -29,3 +29,8 @@ def test_stores_and_sinks(spark, tmp_path):
     packets.write_report(runs, str(tmp_path / "csv"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 3
     assert packets.as_json(runs).first().value.startswith('{"id":1')
+
+
+def test_code_list(spark, tmp_path):
+    (tmp_path / "codes.csv").write_text("m54.5,back pain\n M54.5 ,again\n,none\nA10.1,\"x, y\"\n")
+    assert {r.code for r in packets.read_code_list(spark, str(tmp_path / "codes.csv")).collect()} == {"M54.5", "A10.1"}
